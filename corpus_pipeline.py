@@ -1,8 +1,71 @@
-"""Placeholder until the stages are in."""
+"""A corpus pipeline over the documents table: quality, near-dedup, substring dedup, mixing, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared
+folder and reads it again for the next stage. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, packing, quality, simhash, substring_dedup
+from tessera.llm.common import SPACE, durable, text_key
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more. It learns from the labels outside the held-out fold."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id, once."""
+    prints = simhash.near_duplicates(docs)
+    kept = prints.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their words in duplicate spans; texts without such spans stay as they are, emptied ones go."""
+    keyed = docs.withColumn("tessera_key", text_key(docs))
+    found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("text_key").alias("tessera_key"), "kept_text").dropDuplicates(["doc_id", "tessera_key"])
+    text = F.coalesce("kept_text", "text")
+    cut = keyed.join(found, ["doc_id", "tessera_key"], "left").where("kept_text is null or kept_text <> ''")
+    return cut.select(*(text.alias("text") if c == "text" else F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; where it takes part of one, that many words from its beginning."""
+    sized = mixing.sized(docs)
+    dealt = mixing.deal(mixing.mix(sized.select("doc_id", "source", "mix_size", "mix_key")))
+    row = F.xxhash64("doc_id", "source", "mix_key").alias("mix_row")  # one long that deals out both sides
+    takings = dealt.select(row, F.col("doc_id").alias("t_id"), F.col("mix_key").alias("t_key"), F.col("source").alias("t_source"), "mix_words")
+    texts = sized.select("*", row).repartition("mix_row").dropDuplicates(["mix_row", "doc_id", "source", "mix_key"])
+    rows = durable(takings).join(texts, "mix_row").where("t_id <=> doc_id and t_key = mix_key and t_source <=> source")
+    part = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^[{SPACE}]+", ""), f"[{SPACE}]+"), F.lit(1), F.col("mix_words").cast("int")), " ")
+    text = F.when(F.col("mix_words") < F.col("mix_size"), part).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch and slot of every document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_lengths),
+]
+#: The classifier, the fingerprints and the bucket bounds are beyond SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+    return docs
