@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -29,29 +30,45 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage is cut and lost executors cost nothing.
 
-    The tables go when the driver ends.
+    The table goes with release() or when the driver ends. The shuffle files of the job that wrote it are no longer
+    needed; Spark removes them once the driver's JVM has collected the plan, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
-        atexit.register(_remove, spark)
+        atexit.register(_remove_all, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.durable_path = path
+    return table
 
 
-def _remove(spark: SparkSession) -> None:
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of durable() that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table.durable_path)
+        _written.remove(table.durable_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_all(spark: SparkSession) -> None:
     try:
         for path in _written:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
     except Exception:  # the JVM may have gone first
         return
 
 
 def text_key(df: DataFrame) -> Column:
     """Tells rows apart that share a doc_id but not a text."""
-    return F.xxhash64(F.coalesce(df["text"], F.lit("")))
+    return F.hash(F.coalesce(df["text"], F.lit("")))
 
 
 def word_count(text: Column | str) -> Column:

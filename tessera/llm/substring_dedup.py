@@ -7,8 +7,8 @@ reference block of its anchor, and a document is parsed against exactly the bloc
 1. Index. Each block keeps its distinct phrases with the smallest doc_id that holds each (a grouped minimum with
    map-side combine, keyed by the phrase's 128-bit fingerprint, so a hot block spreads over all tasks).
 2. Parse. A phrase that the index has from a smaller document is matched whole. What remains can only match where a
-   factor begins or ends inside a phrase; in blocks with two phrases or more those *boundary* phrases are opened,
-   and their windows are looked up one by one in an index of the windows of that block's distinct phrases.
+   factor begins or ends inside a phrase; in blocks with two phrases or more those *boundary* phrases are opened in
+   the smallest document that holds them, and their windows are looked up one by one in an index of such windows.
 3. Factors. Per document, runs of matched windows are greedily joined to the longest factors; each factor has at
    least ``window`` words and becomes one duplicate span.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, durable, text_key, words_of
+from .common import Rolling, durable, release, text_key, words_of
 
 WINDOW, GRAM = 50, 8
 #: Odd bases of the rolling hashes.
@@ -77,58 +77,59 @@ def phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 n = [len(p[0]) for p in parts]
                 a, f, g, first, count, repeats = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.record_batch(
-                    [pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(keys, np.int64), n)), _signed(a), _signed(f), _signed(g), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(repeats.astype(np.int32))],
+                    [pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(keys, np.int32), n)), _signed(a), _signed(f), _signed(g), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(repeats.astype(np.int32))],
                     ["doc_id", "text_key", "anchor", "fp1", "fp2", "first", "windows", "repeats"],
                 )
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text")
-    return rows.mapInArrow(parse, "doc_id long, text_key long, anchor long, fp1 long, fp2 long, first int, windows int, repeats int")
+    return rows.mapInArrow(parse, "doc_id long, text_key int, anchor long, fp1 long, fp2 long, first int, windows int, repeats int")
 
 
 def _opened(lists: DataFrame, window: int) -> DataFrame:
-    """The windows of the listed phrases of each text: two fingerprints, phrase, offset, smallest document."""
+    """The windows of the listed phrases of each text: two fingerprints, where it starts, repeats."""
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(b) for b in BASES[1:]]
         for batch in batches:
-            for text, listed in zip(batch["text"], batch["listed"], strict=True):
+            for doc, key, text, listed in zip(batch["doc_id"], batch["text_key"], batch["text"], batch["listed"], strict=True):
                 values = _hashes(words_of(text.as_py()))
                 sums = [r.prefix(values) for r in rolls]
-                fields = [listed.values.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
-                windows = fields[5].astype(np.int64)
+                first, windows, repeats = (listed.values.field(k).to_numpy().astype(np.int64) for k in range(3))
                 off = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = np.repeat(fields[4].astype(np.int64), windows) + off
+                at = np.repeat(first, windows) + off
                 yield pa.record_batch(
-                    [*(_signed(r.span(s, at, at + window)) for r, s in zip(rolls, sums, strict=True)), *(pa.array(np.repeat(x, windows)) for x in fields[:4]), pa.array(off.astype(np.int32))],
-                    ["w1", "w2", "first_doc", "anchor", "fp1", "fp2", "off"],
+                    [*(_signed(r.span(s, at, at + window)) for r, s in zip(rolls, sums, strict=True)), pa.array(np.full(len(at), doc.as_py())), pa.array(np.full(len(at), key.as_py(), np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat(repeats, windows).astype(np.int32))],
+                    ["w1", "w2", "doc_id", "text_key", "start", "windows"],
                 )
 
-    return lists.select("text", "listed").mapInArrow(open_, "w1 long, w2 long, first_doc long, anchor long, fp1 long, fp2 long, off int")
+    return lists.select("doc_id", "text_key", "text", "listed").mapInArrow(open_, "w1 long, w2 long, doc_id long, text_key int, start int, windows int")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, start, windows: runs of windows that also start in a document with a smaller doc_id."""
     block = ["anchor", "fp1", "fp2"]
     parsed = durable(phrases(docs, window, gram))
-    index = durable(
-        parsed.groupBy(*block).agg(F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"), F.max("doc_id").alias("last_doc"))
+    # blocks of more than one document; crowded: with more than one phrase (two phrases with one fp1 are told apart
+    # by fp2 below, and are taken as crowded then too)
+    blocks = (
+        parsed.groupBy("anchor")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("fp1").alias("f"), F.max("fp1").alias("g"), F.min("fp2").alias("p"), F.max("fp2").alias("q"))
+        .where("lo < hi")
+        .select("anchor", F.expr("f < g or p < q").alias("crowded"))
     )
-    crowded = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("at.doc_id").alias("lo"), F.max("last_doc").alias("hi")).where("n > 1 and lo < hi").select("anchor")
-    # a boundary phrase is opened in the smallest document that holds it
-    opened = (
-        index.join(crowded, "anchor")
-        .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"))
-        .agg(F.collect_list(F.struct(F.col("at.doc_id"), *block, F.col("at.first"), F.col("at.windows"))).alias("listed"))
-    )
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text")
-    windows = durable(_opened(texts.join(opened, ["doc_id", "text_key"]), window).distinct())
-    least = windows.groupBy("w1", "w2").agg(F.min("first_doc").alias("least"), F.max("first_doc").alias("most")).where("least < most").drop("most")
-    offsets = windows.join(least, ["w1", "w2"]).where("least < first_doc").groupBy(*block).agg(F.collect_set("off").alias("offsets"))
-    answers = index.select(*block, F.col("at.doc_id").alias("first_doc"), "last_doc").join(offsets, block, "left").where("first_doc < last_doc or offsets is not null").drop("last_doc")
-    hits = parsed.join(answers, block).where("doc_id > first_doc or offsets is not null")
-    whole = hits.where("doc_id > first_doc").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("windows") + F.col("repeats") - 1).alias("windows"))
-    parts = hits.where("doc_id = first_doc").select("doc_id", "text_key", F.explode(F.transform("offsets", lambda o: F.struct((F.col("first") + o).alias("start"), F.col("repeats").alias("windows")))).alias("x")).select("doc_id", "text_key", "x.*")
-    return whole.unionByName(parts)
+    shared = durable(parsed.join(blocks, "anchor"))
+    release(parsed)
+    index = shared.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    matched = durable(shared.join(index, block, "left").withColumn("whole", F.expr("coalesce(doc_id > first_doc, false)")).where("whole or crowded").select("doc_id", "text_key", "first", "windows", "repeats", "whole"))
+    release(shared)
+    lists = matched.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows", "repeats")).alias("listed"))
+    texts = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * window - 1)).select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text")
+    windows = durable(_opened(texts.join(lists, ["doc_id", "text_key"]), window))
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    whole = matched.where("whole").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("windows") + F.col("repeats") - 1).alias("windows"))
+    found = durable(whole.unionByName(windows.join(least, ["w1", "w2"]).where("least < doc_id").select("doc_id", "text_key", "start", "windows")))
+    release(matched, windows)
+    return found
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -166,7 +167,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     keyed = docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text")
     on = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.text_key") == F.col("s.text_key")]
     joined = keyed.alias("d").join(spans.alias("s"), on, "left").select("d.doc_id", "d.text_key", "d.text", "s.spans")
-    return joined.mapInArrow(remove, "doc_id long, text_key long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,end:int>>")
+    return joined.mapInArrow(remove, "doc_id long, text_key int, n_words long, n_removed long, kept_text string, factors array<struct<start:int,end:int>>")
 
 
 def op1_rlz_substring_dedup(spark, sf_dir: str) -> DataFrame:
