@@ -111,24 +111,26 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     parsed = durable(phrases(docs, window, gram))
     # blocks of more than one document; crowded: with more than one phrase (two phrases with one fp1 are told apart
     # by fp2 below, and are taken as crowded then too)
-    blocks = (
+    # Aggregates are written before they are joined: then either side of a join is a shuffle of its own, and a hot
+    # block, phrase or window is split among tasks.
+    blocks = durable(
         parsed.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("fp1").alias("f"), F.max("fp1").alias("g"), F.min("fp2").alias("p"), F.max("fp2").alias("q"))
         .where("lo < hi")
         .select("anchor", F.expr("f < g or p < q").alias("crowded"))
     )
     shared = durable(parsed.join(blocks, "anchor"))
-    release(parsed)
-    index = shared.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    release(parsed, blocks)
+    index = durable(shared.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
     matched = durable(shared.join(index, block, "left").withColumn("whole", F.expr("coalesce(doc_id > first_doc, false)")).where("whole or crowded").select("doc_id", "text_key", "first", "windows", "repeats", "whole"))
-    release(shared)
+    release(shared, index)
     lists = matched.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows", "repeats")).alias("listed"))
     texts = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * window - 1)).select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text")
     windows = durable(_opened(texts.join(lists, ["doc_id", "text_key"]), window))
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = durable(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     whole = matched.where("whole").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("windows") + F.col("repeats") - 1).alias("windows"))
     found = durable(whole.unionByName(windows.join(least, ["w1", "w2"]).where("least < doc_id").select("doc_id", "text_key", "start", "windows")))
-    release(matched, windows)
+    release(matched, windows, least)
     return found
 
 
