@@ -187,7 +187,9 @@ def components(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> D
         member = np.bincount(first, minlength=len(fps))[first] > 1
         return pa.table([pa.array(fps[member]), pa.array(fps[first[member]])], ["fp", "root"])
 
-    stars = durable(points.select("fp").mapInArrow(routed, "leaf int, fp long").groupBy("leaf").applyInArrow(linked, "fp long, root long"))
+    # shards are few bytes and much work: a task each, which size-based coalescing would undo
+    sharded = points.select("fp").mapInArrow(routed, "leaf int, fp long").repartition(1 << levels, "leaf")
+    stars = durable(sharded.groupBy("leaf").applyInArrow(linked, "fp long, root long"))
     own = stars.groupBy("fp").agg(F.min("root").alias("root"))
     between = stars.join(own.withColumnRenamed("root", "low"), "fp").where("root <> low").select(F.col("root").alias("u"), F.col("low").alias("v"))
     centre = _star(between)
