@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Starts of k-mers in one piece of a sequence.
+PIECE = 128
+
 
 def reverse_complement(kmer: Column) -> Column:
     return F.translate(F.reverse(kmer), "ACGT", "TGCA")
@@ -16,8 +19,10 @@ def canonical(kmer: Column) -> Column:
 
 def kmers(df: DataFrame, k: int = 11, drop_last: bool = False, form: str = "forward") -> DataFrame:
     """Counts by row of the k-mers of the sequence in col. form: forward, reverse (complements) or canonical."""
-    last = F.length("col") - k + (0 if drop_last else 1)
-    x = df.where(last >= 1).select("row", F.explode(F.expr(f"transform(sequence(1, length(col) - {k - (0 if drop_last else 1)}), i -> substr(col, i, {k}))")).alias("col"))
+    # substr() walks to its start, so sequences are cut into overlapping pieces of PIECE starts first
+    x = df.select("row", F.expr("left(col, length(col) - 1)").alias("col") if drop_last else "col").where(F.length("col") >= k)
+    x = x.select("row", F.explode(F.expr(f"transform(sequence(1, length(col) - {k - 1}, {PIECE}), i -> substr(col, i, {PIECE + k - 1}))")).alias("piece"))
+    x = x.select("row", F.explode(F.expr(f"transform(sequence(1, length(piece) - {k - 1}), i -> substr(piece, i, {k}))")).alias("col"))
     if form != "forward":
         x = x.withColumn("col", (reverse_complement if form == "reverse" else canonical)(F.col("col")))
     return x.groupBy("row", "col").agg(F.count("*").alias("val"))
