@@ -233,6 +233,12 @@ def latest_version(df: DataFrame, version: str = "ts") -> DataFrame:
     return df.groupBy(*KEY).agg(F.max_by("val", version).alias("val"))
 
 
+def two_version_gate(df: DataFrame, least, version: str = "ts") -> DataFrame:
+    """Cells of exactly two versions whose newer value is at least ``least``; what stays has value 1."""
+    cells = df.groupBy("row", "col").agg(F.count("*").alias("n"), F.max_by("val", version).alias("newest"))
+    return cells.where((F.col("n") == 2) & (F.col("newest") >= least)).select("row", "col", F.lit(1).cast("long").alias("val"))
+
+
 def sum_after(df: DataFrame, threshold: Column, version: str = "ts") -> DataFrame:
     """Sum of the versions from the threshold on, and the newest version before it."""
     at = F.col(version)
@@ -250,8 +256,13 @@ def page(df: DataFrame, limit: int, after: tuple | None = None, key: Iterable[st
     return df.orderBy(*key).limit(limit)
 
 
-def find(df: DataFrame, rows: str = ":", cols: str = ":") -> DataFrame:
-    """Associative-array lookup: each of rows and cols is ``:``, a range string, or prefixes ``a*,``."""
+def find(df: DataFrame, rows: str = ":", cols: str = ":", family: str | None = None) -> DataFrame:
+    """Associative-array lookup: each of rows and cols is ``:``, a range string, or prefixes ``a*,``.
+
+    Both tests hold for an entry, so two lists also find crosswise pairs. family restricts column colf.
+    """
+    if family is not None:
+        df = df.where(F.col("colf") == family)
     for part, text in (("row", rows), ("col", cols)):
         if text not in (":", ":,", ""):
             items = text[:-1].split(text[-1])
@@ -266,10 +277,38 @@ def find(df: DataFrame, rows: str = ":", cols: str = ":") -> DataFrame:
     return df
 
 
+#: A word of a label, bare or quoted, and what labels are malformed: missing or doubled operators, empty brackets.
+_LABEL_WORD = r'"(?:[^"\\]|\\.)+"|[A-Za-z0-9_:./-]+'
+_MALFORMED = r"[^w&|()\s]|[w)]\s*[w(]|[&|(]\s*(?:[&|)]|$)|^\s*[&|)]"
+
+
 def visible(df: DataFrame, authorizations: set[str]) -> DataFrame:
-    """Entries whose label expression (``&``, ``|``, one word or nothing; no mixing without brackets) the reader meets."""
+    """Entries whose label (column vis) the reader meets: words joined by ``&`` or ``|``, nested in brackets to any
+    depth. An empty or null label is met by all, a malformed one (``&`` and ``|`` mixed in one level too) by none."""
     label = F.coalesce("vis", F.lit(""))
     have = F.array(*map(F.lit, sorted(authorizations))).cast("array<string>")
-    some = lambda text: F.exists(F.split(text, r"\|"), lambda x: F.array_contains(have, F.trim(x)))
-    terms = F.transform(F.split(label, "&"), lambda t: F.regexp_replace(t, r"[()\s]", ""))
-    return df.where((label == "") | F.forall(terms, some))
+    frame = "struct<met:boolean,op:string>"
+    below = lambda stack: F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+    last = lambda stack: F.try_element_at(stack, F.lit(-1))
+
+    def joined(rest: Column, top: Column, value: Column) -> Column:
+        met = F.when(top["op"] == "&", top["met"] & value).when(top["op"] == "|", top["met"] | value).when(top["op"] == "", value).otherwise(F.lit(False))
+        return F.array_append(rest, F.struct(met.alias("met"), top["op"].alias("op")).cast(frame))
+
+    def step(stack: Column, token: Column) -> Column:
+        top, rest = last(stack), below(stack)
+        op = F.when(top["op"].isin("", token), token).otherwise("mixed")
+        word = F.regexp_replace(F.regexp_replace(token, '^"|"$', ""), r"\\\\(.)", "$1")
+        return (
+            F.when(token.isin("&", "|"), F.array_append(rest, F.struct(F.when(op == "mixed", False).otherwise(top["met"]).alias("met"), op.alias("op")).cast(frame)))
+            .when(token == "(", F.array_append(stack, F.struct(F.lit(None).alias("met"), F.lit("").alias("op")).cast(frame)))
+            .when(token == ")", joined(below(rest), last(rest), top["met"]))
+            .otherwise(joined(rest, top, F.array_contains(have, word)))
+        )
+
+    tokens = F.regexp_extract_all(label, F.lit(f"{_LABEL_WORD}|[&|()]"), F.lit(0))
+    stack = F.aggregate(tokens, F.expr(f"cast(array(struct(null, '')) as array<{frame}>)"), step)
+    shape = F.regexp_replace(label, _LABEL_WORD, "w")
+    balanced = F.regexp_count(shape, F.lit(r"\(")) == F.regexp_count(shape, F.lit(r"\)"))
+    met = ~F.rlike(shape, F.lit(_MALFORMED)) & balanced & (F.size(stack) == 1) & last(stack)["met"]
+    return df.where((label == "") | F.coalesce(met, F.lit(False)))

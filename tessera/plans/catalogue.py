@@ -146,6 +146,13 @@ matrix_query("stats_combiner", _with("ue", _UE) + "SELECT r, c, min(v) min, max(
 matrix_query("combining_columns", _with("ue", _UE) + "SELECT r, c, CAST(CASE c WHEN 'click' THEN sum(v) WHEN 'error' THEN max(v) WHEN 'view' THEN min(v) ELSE arg_max(v, ts) END AS BIGINT) v FROM u GROUP BY 1, 2", _first, lambda a: core.combining_columns(a, {"click": "plus", "error": "max", "view": "min"}))
 matrix_query("latest_version", _with("ue", _UE) + "SELECT r, c, arg_max(v, ts) v FROM u GROUP BY 1, 2", _first, core.latest_version)
 matrix_query("sum_after_threshold", _with("ue", _UE) + "SELECT r, c, CAST(sum(v) FILTER (ts >= TIMESTAMP '2024-01-10') AS BIGINT) v, arg_max(v, ts) FILTER (ts < TIMESTAMP '2024-01-10') before FROM u GROUP BY 1, 2", _first, lambda a: core.sum_after(a, F.lit("2024-01-10").cast("timestamp")).toDF("r", "c", "v", "before"), None)
+_orders = lambda s, d: m.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_orderkey").alias("ts")).agg(F.sum("l_quantity").cast("long").alias("val"))
+matrix_query("two_version_gate", "WITH z AS (SELECT l_suppkey r, l_partkey c, l_orderkey ts, CAST(sum(l_quantity) AS BIGINT) v FROM lineitem GROUP BY 1, 2, 3) SELECT r, c, CAST(1 AS BIGINT) v FROM z GROUP BY 1, 2 HAVING count(*) = 2 AND arg_max(v, ts) >= 20", _orders, lambda a: core.two_version_gate(a, 20))
+_keyed = lambda a: io.exploded_schema(a.select(F.concat_ws("|", "col", "row").alias("row"), F.concat(F.lit("day|"), F.to_date("ts").cast("string")).alias("col"), "val"))
+matrix_query("exploded_schema_fields", _with("ue", _UE) + "SELECT c r, 'out' c, count(*) v FROM u GROUP BY 1 UNION ALL SELECT 'day', 'in', count(*) FROM u", _first, lambda a: (t := _keyed(a))["field"].unionByName(t["field_t"]))
+matrix_query("exploded_schema_degrees", _with("ue", _UE) + "SELECT 'day|' || CAST(ts AS DATE) r, 'in' c, count(*) v FROM u GROUP BY 1", _first, lambda a: _keyed(a)["degree_t"])
+_labels = lambda: F.element_at(F.array(*map(F.lit, ("", "a&(b|(c&d))", "(a|c)&d", "b|(c&d)"))), (F.col("row") % 4 + 1).cast("int"))
+matrix_query("visible_labels", _with("sp") + "SELECT r, c, v FROM sp WHERE r % 4 <> 2", SP, lambda a: core.visible(a.withColumn("vis", _labels()), {"a", "b"}))
 
 # --- graphs
 _node = lambda s, n, kind="long": s.createDataFrame([(n,)], f"node {kind}")

@@ -83,6 +83,38 @@ def adjacency_schema(edges: DataFrame, weights: bool = False) -> dict[str, DataF
     return {"main": edges, "transpose": core.transpose(edges), "degree": deg, "incidence": incidence(edges), "single": single_table(edges)}
 
 
+def exploded_schema(entries: DataFrame, weights: bool = False, combined: bool = False, separator: str = "|", out: str = "out", into: str = "in") -> dict[str, DataFrame]:
+    """The tables of an exploded schema over entries (row, col, val; text keys such as "field|value").
+
+    main and transpose hold the entries (combined: summed by key); degree and degree_t count the entries of each row and
+    column, field and field_t those of each part before the separator (keys without one have no field). weights: sums of
+    val instead of counts. With a column edge there are edge, edge_t (its ends "out|row" and "in|col") and edge_degree_t.
+    """
+    size = F.sum("val" if weights else F.lit(1))
+
+    def counted(df: DataFrame, key: Column, name: str) -> DataFrame:
+        return df.groupBy(key.alias("row")).agg(size.alias("val")).where("row is not null").select("row", F.lit(name).alias("col"), "val")
+
+    def field(key: str) -> Column:
+        return F.when(F.contains(F.col(key), F.lit(separator)), F.substring_index(key, separator, 1))
+
+    main = core.combine(entries.select("row", "col", "val")) if combined else entries.select("row", "col", "val")
+    row, col = F.col("row"), F.col("col")
+    tables = {
+        "main": main,
+        "transpose": core.transpose(main),
+        "degree": counted(entries, row, out),
+        "degree_t": counted(entries, col, into),
+        "field": counted(entries, field("row"), out),
+        "field_t": counted(entries, field("col"), into),
+    }
+    if "edge" in entries.columns:
+        ends = F.array(F.concat(F.lit(out + separator), row), F.concat(F.lit(into + separator), col))
+        edge = entries.select(F.col("edge").alias("row"), F.explode(ends).alias("col"), "val")
+        tables |= {"edge": edge, "edge_t": core.transpose(edge), "edge_degree_t": counted(edge, col, "deg")}
+    return tables
+
+
 def write(df: DataFrame, path: str, mode: str = "errorifexists", transposed_path: str | None = None, ranges: int | None = None) -> None:
     """A table, and perhaps its transpose, in key ranges."""
     for out, to in ((df, path), *([(core.transpose(df), transposed_path)] if transposed_path else [])):

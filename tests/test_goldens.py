@@ -105,6 +105,27 @@ def test_visibility(make):
     assert {c for _, c in got(core.visible(df, {"A"}))} == {"1", "2", "4"}
 
 
+def test_nested_visibility(make):
+    shown = ["", "a&b", "c|(a&b)", "(a|c)&(b|d)", "((a))", "a&(b|(c&d))", '"x y"|c', "a & b"]
+    hidden = ["a&c", "(a|c)&d", "a&b|c", "a)", ")(a", "a b", "a&", "a&&b", "()", "a)(b", "a&(c|(a&d))"]
+    df = make([("r", v, v) for v in shown + hidden] + [("r", "none", None)], "row string, col string, vis string").selectExpr("*", "1 as val")
+    assert {c for _, c in got(core.visible(df, {"a", "b", "x y"}))} == {*shown, "none"}
+
+
+def test_two_version_gate(make):
+    df = make([("a", "x", 5, 1), ("a", "x", 2, 2), ("a", "y", 1, 1), ("a", "y", 3, 2), ("b", "x", 9, 1), *(("b", "y", 9, t) for t in range(3))], "row string, col string, val long, ts long")
+    assert got(core.two_version_gate(df, 3)) == {("a", "y"): 1}
+
+
+def test_exploded_schema(make):
+    df = make([("t|1", "w|a", 2, "e1"), ("t|2", "w|a", 3, "e2"), ("plain", "w|b", 4, "e3")], "row string, col string, val long, edge string")
+    t = io.exploded_schema(df)
+    assert got(t["degree_t"]) == {("w|a", "in"): 2, ("w|b", "in"): 1}
+    assert got(t["field"]) == {("t", "out"): 2} and got(t["field_t"]) == {("w", "in"): 3}
+    assert got(t["edge_t"])[("in|w|a", "e2")] == 3 and got(t["edge_degree_t"])[("in|w|a", "deg")] == 2
+    assert got(io.exploded_schema(df, weights=True)["degree_t"])[("w|a", "in")] == 5
+
+
 def test_stream(make, spark, tmp_path):
     from tessera.streaming import tables
 
