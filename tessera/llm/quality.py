@@ -121,10 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs and ``quality_score``."""
+    """The columns of docs and, as the last, ``quality_score`` (with as many underlines after it as a clash asks for)."""
     names = docs.columns
-    column = "quality_score"
-    while column in names:
+    column, taken = "quality_score", {n.lower() for n in names}
+    while column in taken:
         column += "_"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, release
@@ -54,14 +54,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, a long with the fingerprint's bits, of each row."""
+    """doc_id, text_key (a hash of the text) and fp, a long with the fingerprint's bits, of each row."""
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch["text"]], np.uint64)
-            yield pa.record_batch([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(taken, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text").mapInArrow(taken, "doc_id long, text_key long, fp long")
+
+
+def text_key(docs: DataFrame) -> Column:
+    """Tells rows apart that share a doc_id, or have none, but not a text."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def grow(sample: np.ndarray, levels: int, seed: int = 7) -> list:
@@ -168,7 +173,8 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """fp and component_id (smallest doc_id reachable) of every distinct fp in prints (doc_id, fp)."""
+    """fp, component_id (smallest doc_id reachable) and fp_group (some fp of the component, the same for all of it) of
+    every distinct fp in prints (doc_id, fp)."""
     points = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = points.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard))))))
@@ -196,7 +202,7 @@ def components(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> D
     named = own.join(centre.select(F.col("u").alias("root"), F.col("v").alias("centre")), "root", "left").select("fp", F.coalesce("centre", "root").alias("centre"))
     named = durable(named.join(points, "fp"))
     lowest = named.groupBy("centre").agg(F.min("least").alias("component_id"))
-    return points.join(named.join(lowest, "centre").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return points.join(named.join(lowest, "centre").select("fp", "component_id", "centre"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("centre", "fp").alias("fp_group"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,6 +211,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """doc_id and text_key of one row of each component: the smallest doc_id's, of rows that share it the one with the
+    smallest text_key. Only components without any doc_id are stood for by a row that has none."""
+    prints = durable(fingerprints(docs))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("best")
+    return prints.join(components(prints), "fp").groupBy("fp_group").agg(best).select("best.doc_id", "best.text_key").distinct()
+
+
 def op7_vantage_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline as pipeline
+import pytest
 from conftest import SF
 
 from tessera.llm import quality, simhash
@@ -50,3 +51,46 @@ def test_stages(spark, tmp_path):
         else:
             assert sorted(r.length for r in after) == sorted(len(SPLIT.findall(r.text or "")) for r in before)
         before = after
+
+
+LONG = " ".join(f"w{k * k % 997}" for k in range(400))
+ODD = [
+    (1, LONG, "en", "a"), (1, LONG, "en", "a"), (2, LONG, None, None), (3, LONG + " end", "en", "b"), (3, "another text under the same id", "en", "b"),
+    (None, LONG, "en", "a"), (None, "a text that stands alone and has no id", "en", "a"), (None, "a text that stands alone and has no id", "en", None),
+    (4, None, "en", "a"), (5, "", "de", "a"), (6, " \t\n", "de", None), (7, "one", "de", "c"), (8, "in " * 30_000, "fr", "c"), (9, " ".join(f"x{k}" for k in range(60)) + " " + LONG, "fr", "c"),
+]
+NAMES = "quality_score Kept_text row text_key key length batch mix_size mix_key mix_words mix_row d_row k_row k_doc component_id fp fp_group source_size"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, lang, s, len(t or ""), *range(len(NAMES.split()))) for i, t, lang, s in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in NAMES.split()))
+
+
+def test_stages_on_odd_rows(spark, odd):
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        found = stage(spark, odd, SF)
+        assert stage(spark, odd.where("false"), SF).count() == 0
+        if k == 4:
+            assert found.count() == len(ODD)
+            continue
+        assert found.schema.simpleString() == odd.schema.simpleString()
+        rows = found.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(NAMES.split()))) for r in rows)
+        if k == 0:
+            assert {(r.doc_id, r.text) for r in rows} <= {(i, t) for i, t, *_ in ODD}
+        elif k == 1:
+            prints = [simhash.fingerprint(t) for _, t, *_ in ODD]
+            group = list(range(len(ODD)))
+            for _ in group:
+                group = [min(group[j] for j in range(len(ODD)) if (prints[i] ^ prints[j]).bit_count() <= 3) for i in range(len(ODD))]
+            ids = {}
+            for g, (i, *_) in zip(group, ODD, strict=True):
+                ids.setdefault(g, []).append(i)
+            assert sorted(((min((i for i in x if i is not None), default=-1)) for x in ids.values())) == sorted(-1 if r.doc_id is None else r.doc_id for r in rows)
+        elif k == 2:
+            assert {r.doc_id: r.text for r in rows if r.doc_id in (1, 4, 5, 7)} == {1: LONG, 4: None, 5: "", 7: "one"}
+            assert 2 not in {r.doc_id for r in rows} and sum(r.doc_id is None for r in rows) == 3 and sum(r.doc_id == 1 for r in rows) == 2
+        else:
+            assert all(SPLIT.findall(r.text) for r in rows) and all(r.n_chars == len(r.text) for r in rows)
