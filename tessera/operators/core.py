@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import ranges
 from tessera.functions.semiring import Binary, Fold, binary, fold
 
+from .lineage import checkpointed
+
 KEY = ["row", "col"]
 
 
@@ -55,12 +57,25 @@ def top_k(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def _ordered(df: DataFrame, by: str) -> DataFrame:
+    """df dealt out by ranges of ``by`` in ascending order, numbered by range_no. Range bounds come from samples, so the
+    result is checkpointed: later reads see the same ranges."""
+    return checkpointed(df.repartitionByRange(by).withColumn("range_no", F.spark_partition_id()))
+
+
 def drop_repeated_rows(df: DataFrame) -> DataFrame:
-    """Entries of rows whose contents (all columns and values) differ from the row before in key order."""
-    content = df.groupBy("row").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("col", "val")))), 256).alias("content"))
-    # one digest a row; the order over all rows is kept in one pass over (row, digest)
-    before = F.lag("content").over(Window.orderBy("row"))
-    return df.join(content.withColumn("before", before).where("before is null or before <> content").select("row"), "row", "left_semi")
+    """Entries of rows whose contents (all columns and values) differ from the row before in key order.
+
+    A row's contents are compared by its size and two sums of hashes, which combine before the shuffle, so a row of any
+    length is spread. The order over all rows is kept range by range; only the ranges' last rows are looked at together.
+    """
+    digest = lambda seed: F.sum(F.xxhash64(F.lit(seed), "col", "val").cast("decimal(20,0)"))
+    rows = _ordered(df.groupBy("row").agg(F.struct(F.count("*").alias("n"), digest(1).alias("a"), digest(2).alias("b")).alias("content")), "row")
+    ends = rows.groupBy("range_no").agg(F.max_by("content", "row").alias("end"))  # one row a range
+    ends = ends.select("range_no", F.lag("end").over(Window.orderBy("range_no")).alias("end"))
+    before = F.coalesce(F.lag("content").over(Window.partitionBy("range_no").orderBy("row")), F.col("end"))
+    changed = rows.join(ends, "range_no").withColumn("before", before).where("before is null or before <> content")
+    return df.join(changed.select("row"), "row", "left_semi")
 
 
 def sample(df: DataFrame, share: float) -> DataFrame:
@@ -73,9 +88,13 @@ def sample(df: DataFrame, share: float) -> DataFrame:
 
 def even_splits(df: DataFrame, parts: int) -> DataFrame:
     """part and the largest row of each of ``parts`` parts with equally many entries, by exact ranks of the rows."""
-    sizes = df.groupBy("row").agg(F.count("*").alias("n"))
-    total, upto = F.sum("n").over(Window.partitionBy()), F.sum("n").over(Window.orderBy("row"))
-    return sizes.withColumn("part", F.floor((upto - 1) * parts / total).cast("int")).groupBy("part").agg(F.max("row").alias("last_row"), F.sum("n").alias("entries"))
+    sizes = _ordered(df.groupBy("row").agg(F.count("*").alias("n")), "row")
+    ranges_ = sizes.groupBy("range_no").agg(F.sum("n").alias("size"))  # one row a range
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    ranges_ = ranges_.select("range_no", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("range_no").orderBy("row"))
+    ranked = sizes.join(ranges_, "range_no").withColumn("part", F.floor((upto - 1) * parts / F.col("total")).cast("int"))
+    return ranked.groupBy("part").agg(F.max("row").alias("last_row"), F.sum("n").alias("entries"))
 
 
 # --- maps ------------------------------------------------------------------------------------------------------------

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder that the session names, or a temporary one in local runs."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from .lineage import checkpointed
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -29,10 +15,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, start: DataFrame, steps: int, low: int | None = None, high: int | None = None, union: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges walked in exactly ``steps`` rounds (an edge walked in s rounds has s times its value) and the nodes
-    reached in the last round, or in any with ``union``. low, high: out-degrees of nodes that are walked from."""
+    reached in the last round, or in any with ``union``. low, high: out-degrees of nodes that are walked from.
+
+    From the third round on the frontier is checkpointed, so plans do not grow with the rounds."""
     frontier, walked, reached = start.select("node").distinct(), None, None
     allowed = core.min_max(core.degrees(edges), low, high, "deg").select("node") if low is not None or high is not None else None
-    for _ in range(steps):
+    for k in range(steps):
+        if k > 1:
+            frontier = checkpointed(frontier)
         if allowed is not None:
             frontier = frontier.join(allowed, "node", "left_semi")
         step = edges.join(frontier.withColumnRenamed("node", "row"), "row", "left_semi").select("row", "col", "val")
@@ -45,7 +35,9 @@ def bfs(edges: DataFrame, start: DataFrame, steps: int, low: int | None = None,
 def bfs_incidence(incidence: DataFrame, start: DataFrame, steps: int, starts: tuple[str, ...] = ("out",), ends: tuple[str, ...] = ("in",)) -> tuple[DataFrame, DataFrame]:
     """The same over (edge, role, node, val). A start entry is given once for each end of its edge."""
     frontier, walked, reached = start.select("node").distinct(), None, None
-    for _ in range(steps):
+    for k in range(steps):
+        if k > 1:
+            frontier = checkpointed(frontier)
         s = incidence.where(F.col("role").isin(*starts)).join(frontier, "node", "left_semi")
         e = incidence.where(F.col("role").isin(*ends)).select("edge", *(F.col(c).alias(f"e_{c}") for c in ("role", "node", "val")))
         both = s.join(e, "edge").select("edge", F.explode(F.array(F.struct("role", "node", "val"), F.struct(F.col("e_role").alias("role"), F.col("e_node").alias("node"), F.col("e_val").alias("val")))).alias("x"), "e_node")
@@ -60,7 +52,9 @@ def bfs_single_table(edges: DataFrame, start: DataFrame, steps: int, low: int |
     the frontier itself and so gives it of its own."""
     frontier, walked, reached = start.select("node").distinct(), None, None
     allowed = core.min_max(core.degrees(edges), low, high, "deg").select("node") if low is not None or high is not None else None
-    for _ in range(steps):
+    for k in range(steps):
+        if k > 1:
+            frontier = checkpointed(frontier)
         if allowed is not None:
             frontier = frontier.join(allowed, "node", "left_semi")
         step = edges.join(frontier.withColumnRenamed("node", "row"), "row", "left_semi").select("row", "col", "val")
@@ -193,8 +187,6 @@ def tfidf(counts: DataFrame, n_docs: int | None = None) -> DataFrame:
     """count / words of the document * ln(1 + N / (1 + documents with the word)) for (row=document, col=word, val)."""
     totals = counts.groupBy("row").agg(F.sum("val").alias("total"))
     spread = counts.groupBy("col").agg(F.count("*").alias("df"))
-    n: Column = F.lit(n_docs)
+    n = totals.agg(F.count("*").alias("n_docs")).scalar() if n_docs is None else F.lit(n_docs)
     x = counts.join(totals, "row").join(spread, "col")
-    if n_docs is None:
-        x, n = x.crossJoin(F.broadcast(totals.agg(F.count("*").alias("n_docs")))), F.col("n_docs")  # one row
     return x.select("row", "col", (F.col("val") / F.col("total") * F.ln(1 + n / (1 + F.col("df")))).alias("val"))

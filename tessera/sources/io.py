@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import core
@@ -21,9 +21,18 @@ def read_arcs(spark: SparkSession, path: str, separator: str = "\t") -> DataFram
 
 
 def read_sequences(spark: SparkSession, path: str, every: int = 1, offset: int = 0) -> DataFrame:
-    """CSV of seqid, seq with a header: row is the file, col the sequence; every n-th line of a file from an offset."""
-    lines = spark.read.csv(path, header=True, schema="seqid string, seq string").select(F.input_file_name().alias("row"), F.col("seq").alias("col"), F.monotonically_increasing_id().alias("at"))
-    return lines.where((F.col("at") >= offset) & ((F.col("at") - offset) % every == 0)).select("row", "col", F.lit(1).cast("long").alias("val"))
+    """CSV of seqid, seq with a header: row is the file, col the sequence; every n-th line of each file from an offset.
+
+    Lines are numbered block by block: a block's lines have consecutive ids, and blocks of a file are few."""
+    read = spark.read.csv(path, header=True, schema="seqid string, seq string")
+    if every == 1 and offset == 0:
+        return read.select(F.col("_metadata.file_path").alias("row"), F.col("seq").alias("col"), F.lit(1).cast("long").alias("val"))
+    block = ["row", "block"]
+    lines = read.select(F.col("_metadata.file_path").alias("row"), F.col("_metadata.file_block_start").alias("block"), F.col("seq").alias("col"), F.monotonically_increasing_id().alias("id"))
+    earlier = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(*block).agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    at = F.col("id") - F.col("first") + F.col("before") - offset
+    return lines.join(blocks, block).where((at >= 0) & (at % every == 0)).select("row", "col", F.lit(1).cast("long").alias("val"))
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:

@@ -134,3 +134,39 @@ def test_stream(make, spark, tmp_path):
     q = tables.running_combine(stream).writeStream.outputMode("complete").format("memory").queryName("combined").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert got(spark.table("combined")) == {("a", "x"): 3, ("b", "y"): 3}
+
+
+def test_every_nth_line_of_each_file(spark, tmp_path):
+    for name, n in (("a", 500), ("b", 7)):
+        (tmp_path / f"{name}.csv").write_text("seqid,seq\n" + "".join(f"{k},{name}{k}\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = io.read_sequences(spark, str(tmp_path), 3, 1)
+        assert found.rdd.getNumPartitions() > 1
+        assert sorted(r.col for r in found.collect()) == sorted(f"{name}{k}" for name, n in (("a", 500), ("b", 7)) for k in range(1, n, 3))
+        assert io.read_sequences(spark, str(tmp_path)).count() == 507
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_orders_over_many_ranges(spark):
+    rows = [(r, c, 1 + (r // 3) % 2) for r in range(300) for c in range(1 + r // 100)]
+    df = spark.createDataFrame(rows, "row long, col long, val long").repartition(7)
+    content = {}
+    for r, c, v in rows:
+        content.setdefault(r, set()).add((c, v))
+    assert sorted({r.row for r in core.drop_repeated_rows(df).collect()}) == [r for r in sorted(content) if content[r] != content.get(r - 1)]
+    parts = {r.part: (r.last_row, r.entries) for r in core.even_splits(df, 4).collect()}
+    expected, seen = {}, 0
+    for r in sorted(content):
+        seen += len(content[r])
+        part = (seen - 1) * 4 // len(rows)
+        expected[part] = (r, expected.get(part, (0, 0))[1] + len(content[r]))
+    assert parts == expected
+
+
+def test_long_walk_is_checkpointed(spark):
+    ring = spark.createDataFrame([(k, (k + 1) % 9, 1) for k in range(9)], "row long, col long, val long")
+    walked, reached = graph.bfs(ring, spark.createDataFrame([(0,)], "node long"), 20)
+    assert [r.node for r in reached.collect()] == [20 % 9] and walked.agg({"val": "sum"}).first()[0] == 20
