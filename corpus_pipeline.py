@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash, substring_dedup
+from tessera.llm import mixing, near_copies, packing, quality, simhash, substring_dedup
 from tessera.llm.common import SPACE, durable, text_key
 
 
@@ -30,9 +30,10 @@ def _with_text(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id, once; a row without doc_id only if all are."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the row with the smallest doc_id, once; a
+    row without doc_id only if all are."""
     joined = lambda doc, key: F.xxhash64(doc.cast("long"), key)  # noqa: E731  one long that deals out both sides
-    kept = durable(simhash.one_of_each(docs).withColumn("k_row", joined(F.col("doc_id"), F.col("text_key"))).withColumnRenamed("doc_id", "k_doc"))
+    kept = durable(near_copies.one_of_each(docs).withColumn("k_row", joined(F.col("doc_id"), F.col("text_key"))).withColumnRenamed("doc_id", "k_doc"))
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_doc"), simhash.text_key(docs).alias("d_key"), joined(docs["doc_id"], simhash.text_key(docs)).alias("d_row"))
     found = keyed.join(kept, F.expr("d_row = k_row and d_doc <=> k_doc and d_key = text_key"), "left_semi")
     return found.dropDuplicates(["d_row", "d_doc", "d_key"]).select("row.*")
@@ -66,7 +67,7 @@ def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("substring dedup", drop_repeated_passages),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack_lengths),
