@@ -102,12 +102,17 @@ def count_triangles_by_edges(edges: DataFrame) -> DataFrame:
     return met.where("count = 2").agg(F.count("*").alias("triangles"))
 
 
-def k_truss(edges: DataFrame, k: int, rounds: int = 100) -> DataFrame:
-    """Both directions of the edges that lie in k - 2 triangles or more of what remains."""
+def k_truss(edges: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
+    """Both directions of the edges that lie in k - 2 triangles or more of what remains.
+
+    Goes on until nothing changes; where that takes more than ``rounds``, if given, it raises."""
     left = checkpointed(core.triangle(undirected(edges.select("row", "col", F.lit(1).cast("long").alias("val"))), "upper").select("row", "col"))
     if k > 2:
-        size = left.count()
-        for _ in range(rounds):
+        size, done = left.count(), 0
+        while True:
+            if done == rounds:
+                raise RuntimeError(f"the {k}-truss has not settled within {rounds} rounds")
+            done += 1
             both = left.unionByName(left.select(F.col("col").alias("row"), F.col("row").alias("col")))
             a, b = both.alias("a"), both.alias("b")
             support = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).groupBy(F.col("a.col").alias("row"), F.col("b.col").alias("col")).count().where(F.col("count") >= k - 2)
@@ -118,7 +123,7 @@ def k_truss(edges: DataFrame, k: int, rounds: int = 100) -> DataFrame:
     return left.unionByName(left.select(F.col("col").alias("row"), F.col("row").alias("col"))).withColumn("val", F.lit(1).cast("long"))
 
 
-def k_truss_incidence(incidence: DataFrame, k: int, rounds: int = 100) -> DataFrame:
+def k_truss_incidence(incidence: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
     """Rows of an incidence table (edge, node) of plain edges that are in the k-truss."""
     pairs = incidence.groupBy("edge").agg(F.min("node").alias("row"), F.max("node").alias("col"))
     kept = k_truss(pairs.select("row", "col"), k, rounds)

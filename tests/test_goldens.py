@@ -1,5 +1,7 @@
 """Small results known by hand."""
 
+import inspect
+
 import pytest
 
 from tessera.operators import bio, core, graph, matrix
@@ -58,6 +60,15 @@ def test_k_truss(make):
     assert graph.k_truss_incidence(io.incidence(e).select("edge", "node"), 3).count() == 10
 
 
+def test_k_truss_goes_on_until_it_settles(make):
+    e = make([(a, b, 1) for a, b in G5])
+    for truss, x in ((graph.k_truss, e), (graph.k_truss_incidence, io.incidence(e).select("edge", "node"))):
+        assert inspect.signature(truss).parameters["rounds"].default is None
+        with pytest.raises(RuntimeError, match="not settled"):
+            truss(x, 3, rounds=1)
+        assert truss(x, 3, rounds=2).count() == 10
+
+
 def test_tfidf(make):
     counts = {"e1": {"v1": 7, "v2": 6}, "e2": {"v1": 2, "v3": 6}, "e3": {"v1": 3, "v5": 1}, "e4": {"v2": 2}, "e5": {"v4": 9, "v5": 1}, "e6": {"v1": 2, "v3": 1, "v4": 4}}
     x = got(graph.tfidf(make([(d, w, n) for d, ws in counts.items() for w, n in ws.items()])))
