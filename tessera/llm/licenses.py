@@ -21,26 +21,26 @@ from pyspark.sql import functions as F
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: label: (keywords that all must occur, regular expression of the name in normal words)
 FAMILIES = {
-    "apache-2.0": (["apache"], "apache (?:software )?(?:license )?(?:version )?(?:v )?2(?: 0)?"),
+    "apache-2.0": (["apache"], "apache (?:software )?(?:license )?(?:version )?(?:v |v)?2(?: 0)?"),
     "apache-1.1": (["apache"], "apache (?:software )?(?:license )?(?:version )?1 1"),
     "apache": (["apache"], "apache (?:software )?license"),
     "mit": (["mit"], "mit(?: license)?"),
     "bsd-3-clause": (["bsd"], "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
-    "bsd-2-clause": (["bsd"], "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    "bsd-2-clause": (["bsd"], "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
     "bsd": (["bsd"], "bsd(?: style)?(?: license)?"),
-    "gpl-2.0": (["gpl"], "gpl (?:version )?(?:v )?2(?: 0)?"),
-    "gpl-3.0": (["gpl"], "gpl (?:version )?(?:v )?3(?: 0)?"),
-    "gpl-2.0-full": (["general", "public"], "(?:gnu )?general public license (?:version|v) 2(?: 0)?"),
-    "gpl-3.0-full": (["general", "public"], "(?:gnu )?general public license (?:version|v) 3(?: 0)?"),
+    "gpl-2.0": (["gpl"], "gpl (?:version )?(?:v |v)?2(?: 0)?"),
+    "gpl-3.0": (["gpl"], "gpl (?:version )?(?:v |v)?3(?: 0)?"),
+    "gpl-2.0-full": (["general", "public"], "(?:gnu )?general public license (?:version |v |v)2(?: 0)?"),
+    "gpl-3.0-full": (["general", "public"], "(?:gnu )?general public license (?:version |v |v)3(?: 0)?"),
     "gpl-gnu": (["gnu", "general", "public"], "gnu general public license"),
-    "lgpl-2.1": (["lesser"], "(?:gnu )?lesser general public license (?:version|v) 2(?: 1)?"),
-    "lgpl-3.0": (["lesser"], "(?:gnu )?lesser general public license (?:version|v) 3(?: 0)?"),
-    "lgpl": (["lgpl"], "lgpl(?: v?[23](?: [01])?)?"),
-    "agpl-3.0": (["affero"], "(?:gnu )?affero general public license(?: (?:version|v) 3(?: 0)?)?"),
-    "agpl": (["agpl"], "agpl(?: v?3(?: 0)?)?"),
-    "mpl-2.0": (["mozilla"], "mozilla public license (?:version |v )?2(?: 0)?"),
-    "mpl-1.1": (["mozilla"], "mozilla public license (?:version |v )?1 1"),
-    "epl": (["eclipse"], "eclipse public license(?: (?:version |v )?[12](?: 0)?)?"),
+    "lgpl-2.1": (["lesser"], "(?:gnu )?lesser general public license (?:version |v |v)2(?: 1)?"),
+    "lgpl-3.0": (["lesser"], "(?:gnu )?lesser general public license (?:version |v |v)3(?: 0)?"),
+    "lgpl": (["lgpl"], "lgpl(?: (?:version |v |v)?[23](?: [01])?)?"),
+    "agpl-3.0": (["affero"], "(?:gnu )?affero general public license(?: (?:version |v |v)3(?: 0)?)?"),
+    "agpl": (["agpl"], "agpl(?: (?:version |v |v)?3(?: 0)?)?"),
+    "mpl-2.0": (["mozilla"], "mozilla public license (?:version |v |v)?2(?: 0)?"),
+    "mpl-1.1": (["mozilla"], "mozilla public license (?:version |v |v)?1 1"),
+    "epl": (["eclipse"], "eclipse public license(?: (?:version |v |v)?[12](?: 0)?)?"),
     "cddl": (["cddl"], "cddl(?: 1 [01])?"),
     "eupl": (["eupl"], "eupl(?: v?1 [12])?"),
     "isc": (["isc"], "isc(?: license)?"),
@@ -64,6 +64,24 @@ FAMILIES = {
     "public-domain": (["public", "domain"], "public domain"),
     "proprietary": (["proprietary"], "proprietary(?: and confidential)?"),
 }
+#: Further names of the families, each with keywords of its own: fused words, and short names as in SPDX lines.
+FURTHER = [
+    ("bsd-2-clause", ["freebsd"], "freebsd"),
+    ("gpl-2.0", ["gplv2"], "gplv2(?: 0)?"),
+    ("gpl-3.0", ["gplv3"], "gplv3(?: 0)?"),
+    ("gpl", ["gpl"], "gpl"),
+    ("lgpl-2.1", ["lgplv2"], "lgplv2(?: 1)?"),
+    ("lgpl-3.0", ["lgplv3"], "lgplv3(?: 0)?"),
+    ("agpl-3.0", ["agplv3"], "agplv3(?: 0)?"),
+    ("mpl-2.0", ["mpl"], "mpl (?:version |v |v)?2(?: 0)?"),
+    ("mpl-2.0", ["mplv2"], "mplv2(?: 0)?"),
+    ("mpl-1.1", ["mpl"], "mpl (?:version |v |v)?1 1"),
+    ("epl", ["epl"], "epl(?: (?:version |v |v)?[12](?: 0)?)?"),
+    ("epl", ["eplv1"], "eplv1(?: 0)?"),
+    ("epl", ["eplv2"], "eplv2(?: 0)?"),
+]
+#: label, keywords, name of all of them.
+ALL_NAMES = [(label, *found) for label, found in FAMILIES.items()] + FURTHER
 #: Names that are words of their own: not evidence without one of the other forms.
 AMBIGUOUS = {"mit", "isc", "boost", "bsd", "python", "public-domain", "proprietary"}
 #: (name, keywords, before, after, priority, confidence); a higher priority wins over what it contains.
@@ -79,14 +97,14 @@ FORMS = (
     ("name", [], "", "", 1, 0.4),
 )
 #: Stems of which every text that a rule can match holds one: each family's own words cover its rules.
-GATES = sorted({min(keywords, key=lambda k: (k in ("by", "nd", "sa", "nc", "public"), k)) for keywords, _ in FAMILIES.values()})
-KEYWORDS = sorted({k for keywords, _ in FAMILIES.values() for k in keywords} | {k for form in FORMS for k in form[1]})
+GATES = sorted({min(keywords, key=lambda k: (k in ("by", "nd", "sa", "nc", "public"), k)) for _, keywords, _ in ALL_NAMES})
+KEYWORDS = sorted({k for _, keywords, _ in ALL_NAMES for k in keywords} | {k for form in FORMS for k in form[1]})
 
 
 def rules() -> list[tuple[str, list[str], str, int, float]]:
     """label, keywords, regular expression over the normal form, priority, confidence."""
     out = []
-    for (label, (keywords, name)), (kind, more, before, after, priority, confidence) in product(FAMILIES.items(), FORMS):
+    for (label, keywords, name), (kind, more, before, after, priority, confidence) in product(ALL_NAMES, FORMS):
         if kind == "name" and label in AMBIGUOUS:
             continue
         pattern = f" {before}(?:{name}){after} ".replace(" ", "  ")[1:-1]
