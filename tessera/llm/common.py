@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -66,9 +68,10 @@ def _remove_all(spark: SparkSession) -> None:
         return
 
 
-def text_key(df: DataFrame) -> Column:
-    """Tells rows apart that share a doc_id but not a text."""
-    return F.hash(F.coalesce(df["text"], F.lit("")))
+def text_keys(text: Column | str) -> tuple[Column, Column]:
+    """Two longs k1 and k2, 128 bits in all, that stand for a text; null and empty texts have the same ones."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")
 
 
 def word_count(text: Column | str) -> Column:
