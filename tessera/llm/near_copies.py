@@ -1,15 +1,25 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly, by prefix filters.
-
-1. Sets. XXH64 of every shingle of ``SHINGLE`` words of the lower-cased text. Texts with equal sets are one point from
-   here on, so exact copies cost one row. Texts without words share the empty set.
-2. Lists. Shingles have an order, common ones last. Of two sets with a similarity of ``LEAST`` or more each has one of
-   the other's shingles among the first n - ceil(LEAST * n) + 1 of its n, so every such pair meets in some list of a
-   shingle. Which shingles are common is estimated on a bounded sample: it shapes the order, never what is found.
-3. Pairs. In a list a point takes all later ones that sizes and parity sketches leave possible, the next point the rest,
-   and so on: fewer pairs than points. They are verified on the whole sets, and similar ones joined to components.
-   Then all pairs of a list that are still in different components are verified in the same way, so none is missed.
-   Sketches only rule pairs out: a bit in which they differ stands for a shingle that only one of both sets has.
-4. Components, by the star steps of simhash.py.
+"""SimHash near-dedup at a similarity of texts: components of equal or similar sets of word shingles, exactly.
+
+Two texts are near copies if the sets of their ``SHINGLE``-word shingles (XXH64, lower-cased text) have a Jaccard
+similarity of ``LEAST`` or more. Texts with equal sets are one point from here on, so exact copies cost one row.
+
+1. SimHash. Every set has a 64-bit fingerprint; vantage-point shards (simhash.py) give the groups of fingerprints that
+   hang together within 3 bits, and each point of a group is a candidate with the group's first one.
+2. The rest. Similar sets may lie some 10 bits apart, too far for any shard bound to prune, so what fingerprints miss is
+   found by prefixes: shingles have an order, common ones last; of two sets that are similar each has one of the other's
+   shingles among the first n - ceil(LEAST * n) + 1 of its n, so every such pair meets in the list of some shingle.
+   (Which shingles are common is estimated on a bounded sample: it shapes the order, never what is found.) Lists of the
+   same points are one list. Lists are cut into blocks of about ``BLOCK`` points, by a hash of point and shingle; in a
+   block a point takes all later ones that sizes and parity sketches leave possible, the next point the rest, and so on:
+   fewer pairs than points.
+3. Check. All these pairs are checked on the whole sets, similar ones are linked, and links joined to components by the
+   star steps of simhash.py. Then pairs of a list that are still in different components, the blocks of a list against
+   each other, are checked in the same way, so none is missed. Only here work can grow with the square of a list, and
+   only as far as it holds different components. Sketches only rule pairs out: a bit in which they differ stands for a
+   shingle that only one of both sets has.
+
+Texts without words (null and empty ones) share the empty set. Rows with a null doc_id belong to components but stand
+for one only if no other does. Sets are told apart by a 64-bit hash of theirs, texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -19,45 +29,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release
-from .simhash import _LOWER, SEED, _star, text_key
+from . import simhash
+from .common import durable, release, text_keys
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
 #: Bits of a parity sketch; texts that common shingles are counted on, how often they occur there, the most of them.
 BITS, SAMPLE, COMMON, MOST = 512, 10_000, 8, 100_000
+#: Points of a block of a list, on average.
+BLOCK = 2048
+DOC = ["doc_id", "k1", "k2"]
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The set of a text's shingles, sorted."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: max(1, len(words) - SHINGLE + 1)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(start.tolist(), (end[SHINGLE - 1 :] if len(words) > SHINGLE else end[-1:]).tolist(), strict=False)], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
 def set_key(found: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))) if len(found) else 0
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED)).view(np.int64))) if len(found) else 0
 
 
 def prefix_length(n: int) -> int:
     return n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
 
 
-def sketch(found: np.ndarray) -> bytes:
+def sketch(found: np.ndarray, bits: int = BITS) -> bytes:
     """Whether an even or odd number of shingles falls on each bit."""
-    return np.packbits((np.bincount((found >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def wide_sketch(found: np.ndarray) -> bytes:
-    """The same on a power of two of bits, ``BITS`` and the set's size at least; halves xor to the next smaller one."""
-    bits = max(BITS, 1 << max(0, len(found) - 1).bit_length())
-    return np.packbits((np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+    """The same on a power of two of bits, the set's size at least; halves xor to the next smaller one. Empty where
+    ``BITS`` are enough."""
+    return sketch(found, 1 << (len(found) - 1).bit_length()) if len(found) > BITS else b""
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -78,51 +86,61 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def points(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key, fp (names the set), n, both sketches and the set's prefix, of each row."""
+    """doc_id, k1, k2, fp (names the set), n, sim (the fingerprint), both sketches and the set's prefix, of each row."""
     tokens, counts = common
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch["text"]]
-            prefixes = []
-            for s in sets:
-                at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
-                rank = np.where(tokens[at] == s, counts[at], 0) if len(tokens) else np.zeros(len(s), np.uint64)
-                prefixes.append(s[np.lexsort((s, rank))[: prefix_length(len(s))]].view(np.int64))
-            columns = [batch["doc_id"], batch["text_key"], pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "text_key", "fp", "n", "sketch", "wide", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text").mapInArrow(taken, "doc_id long, text_key long, fp long, n int, sketch binary, wide binary, prefix array<long>")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                sets = [shingles(t.as_py()) for t in batch["text"]]
+                prefixes = []
+                for s in sets:
+                    at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
+                    rank = np.where(tokens[at] == s, counts[at], 0) if len(tokens) else np.zeros(len(s), np.uint64)
+                    prefixes.append(s[np.lexsort((s, rank))[: prefix_length(len(s))]].view(np.int64))
+                sims = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+                columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sims), *(pa.array(list(map(f, sets)), pa.binary()) for f in (sketch, wide_sketch)), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.record_batch([*(batch[c] for c in DOC), *columns], [*DOC, "fp", "n", "sim", "sketch", "wide", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), *text_keys("text"), "text").mapInArrow(taken, "doc_id long, k1 long, k2 long, fp long, n int, sim long, sketch binary, wide binary, prefix array<long>")
 
 
 def _possible(n: np.ndarray, bits: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
     """Which of ``rest`` sizes and sketches allow to be similar to i."""
     p, q = LEAST
     low, both = np.minimum(n[rest], n[i]), n[rest] + n[i]
-    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    return (low * q >= (both - low) * p) & (apart * (q + p) <= both * (q - p))
+    sized = np.flatnonzero(low * q >= (both - low) * p)
+    apart = np.bitwise_count(bits[rest[sized]] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(rest), bool)
+    out[sized[apart * (q + p) <= both[sized] * (q - p)]] = True
+    return out
 
 
-def _pairs(lists: DataFrame, crossing: bool) -> DataFrame:
-    """Pairs a < b of points in lists (token, fp, n, sketch, centre) that may be similar: with ``crossing`` all in
-    different components, else those that a point takes from the points not taken so far."""
+def _pairs(lists: DataFrame, cell: Column, crossing: bool) -> DataFrame:
+    """Pairs a < b of points of one cell of lists (fp, n, sketch, block, centre) that may be similar: with ``crossing``
+    all in different components (and, where a cell has two blocks, in different ones), else those that a point takes
+    from the points not taken so far."""
 
-    def of_list(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, centre: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = np.arange(len(fp))
+    def of_cell(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, centre: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, two = np.arange(len(fp)), block.min() < block.max()
         while len(left) > 1:
             i, left = left[0], left[1:]
-            close = _possible(n, bits, i, left)
-            near = left[close & (centre[left] != centre[i])] if crossing else left[close]
+            if crossing:
+                met = left[(centre[left] != centre[i]) & ((block[left] != block[i]) | ~two)]
+                near = met[_possible(n, bits, i, met)]
+            else:
+                close = _possible(n, bits, i, left)
+                near, left = left[close], left[~close]
             yield np.full(len(near), fp[i]), fp[near]
-            left = left if crossing else left[~close]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            token = rest["token"].to_numpy()
-            whole = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last list may go on
+            cells = rest["cell"].to_numpy()
+            whole = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0  # the last cell may go on
             if whole:
                 yield from ruled(rest.slice(0, whole))
                 rest = rest.slice(whole)
@@ -130,23 +148,27 @@ def _pairs(lists: DataFrame, crossing: bool) -> DataFrame:
             yield from ruled(rest)
 
     def ruled(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, fp, n, centre = (table[c].to_numpy() for c in ("token", "fp", "n", "centre"))
+        cells, fp, n, centre, block = (table[c].to_numpy() for c in ("cell", "fp", "n", "centre", "block"))
         bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(fp), -1)
-        cuts = np.flatnonzero(np.diff(token)) + 1
-        a, b = [], []
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        a, b, size = [], [], 0
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
-            for x, y in of_list(fp[s:e], n[s:e].astype(np.int64), bits[s:e], centre[s:e]):
+            for x, y in of_cell(fp[s:e], n[s:e].astype(np.int64), bits[s:e], centre[s:e], block[s:e]):
                 a.append(x)
                 b.append(y)
+                size += len(x)
+                if size > 100_000:
+                    yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, size = [], [], 0
         if a:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    dealt = lists.repartition("token").sortWithinPartitions("token", "fp")
-    return dealt.select("token", "fp", "n", "sketch", "centre").mapInArrow(found, "a long, b long").distinct()
+    dealt = lists.withColumn("cell", cell).repartition("cell").sortWithinPartitions("cell", "fp")
+    return dealt.select("cell", "fp", "n", "sketch", "centre", "block").mapInArrow(found, "a long, b long").distinct()
 
 
 def _narrowed(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs that the wide sketches leave possible: few bytes a point, where whole sets are many."""
+    """The pairs that sizes and the widest sketches leave possible: few bytes a point, where whole sets are many."""
     p, q = LEAST
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,52 +178,77 @@ def _narrowed(pairs: DataFrame, heads: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 size = min(len(x), len(y))
                 apart = np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))
-                keep.append(int(np.bitwise_count(apart).sum(dtype=np.int64)) * (q + p) <= (n + m) * (q - p))
+                keep.append(min(n, m) * q >= max(n, m) * p and int(np.bitwise_count(apart).sum(dtype=np.int64)) * (q + p) <= (n + m) * (q - p))
             yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = pairs.join(heads.select(F.col("fp").alias("a"), "n", F.col("wide").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
+    bits = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sketch"))
+    x = pairs.join(heads.select(F.col("fp").alias("a"), "n", bits.alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("n").alias("m"), bits.alias("y")), "b")
     return x.select("a", "b", "n", "m", "x", "y").mapInArrow(left, "a long, b long")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar; the sets are made again from one text each."""
-    pairs = narrow = durable(_narrowed(pairs, heads))
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = heads.join(keys, "fp", "left_semi").select("fp", F.col("text_key").alias("t_key"), F.col("doc_id").alias("t_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(docs).alias("key"), "text")
-    texts = texts.join(wanted, F.expr("key = t_key and id <=> t_id")).select("fp", "text")
+    """The pairs whose sets are similar, as u, v; the sets are made again from one text each."""
+    narrow = durable(_narrowed(pairs, heads))
+    keys = narrow.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = heads.join(keys, "fp", "left_semi").select("fp", *DOC)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), *(c.alias(f"t{i}") for i, c in enumerate(text_keys("text"))), "text")
+    texts = texts.join(wanted, F.expr("t0 = k1 and t1 = k2 and id <=> doc_id")).select("fp", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch["fp"], pa.array([shingles(t.as_py()).view(np.int64) for t in batch["text"]], pa.list_(pa.int64()))], ["fp", "tokens"])
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                yield pa.record_batch([some["fp"], pa.array([shingles(t.as_py()).view(np.int64) for t in some["text"]], pa.list_(pa.int64()))], ["fp", "tokens"])
 
     sets = durable(texts.mapInArrow(each, "fp long, tokens array<long>").dropDuplicates(["fp"]))
-    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
+    x = narrow.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
     shared = x.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("n"))
     out = durable(shared.where(F.col("both") * LEAST[1] >= (F.col("n") - F.col("both")) * LEAST[0]).select(F.col("b").alias("u"), F.col("a").alias("v")))
     release(sets, narrow)
     return out
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """doc_id and text_key of one row of each component: the smallest doc_id's, of rows that share it the one with the
-    smallest text_key. Only components without any doc_id are stood for by a row that has none."""
-    prints = durable(points(docs, common_shingles(docs)))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("best")
-    heads = durable(prints.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).select("fp", "best.*", "n", "sketch", "wide", "prefix"))
-    release(prints)
+def _tight(heads: DataFrame) -> DataFrame:
+    """Each point with the first one of its group of fingerprints, as pairs a, b."""
+    groups = simhash.components(heads.select(F.col("sim").alias("fp"), "doc_id")).select(F.col("fp").alias("sim"), "fp_group")
+    members = durable(heads.select("fp", "sim").join(groups, "sim").select("fp", "fp_group"))
+    first = members.groupBy("fp_group").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("fp_group", "a")
+    return members.join(first, "fp_group").where("fp <> a").select("a", F.col("fp").alias("b"))
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 of one text of each component: the smallest doc_id's, of texts that share it the one with the
+    smallest k1 and k2. Only components without any doc_id are stood for by a text that has none."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), *DOC)).alias("best")
+    columns = ("n", "sim", "sketch", "wide", "prefix")
+    heads = durable(points(docs, common_shingles(docs)).groupBy("fp").agg(best, *(F.first(c).alias(c) for c in columns)).select("fp", "best.*", *columns))
     postings = heads.select("fp", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token")
-    lists = durable(postings.join(shared, "token").join(heads.select("fp", "n", "sketch"), "fp").withColumn("centre", F.col("fp")))
-    taken = durable(_pairs(lists, crossing=False))
+    hold = [F.count("*").alias("m"), *(F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(x) for k, x in enumerate("xy"))]
+    held = postings.groupBy("token").agg(*hold).where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token"))
+    held = durable(held.select("token", F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    block = F.pmod(F.xxhash64("fp", "token"), F.col("blocks"))
+    lists = durable(postings.join(held, "token").join(heads.select("fp", "n", "sketch"), "fp").select("token", "blocks", block.alias("block"), "fp", "n", "sketch"))
+    release(held)
+    taken = durable(_pairs(lists.withColumn("centre", F.col("fp")), F.xxhash64("token", "block"), False).unionByName(_tight(heads)).distinct())
     close = _similar(taken, docs, heads)
-    centre = _star(close).select(F.col("u").alias("fp"), F.col("v").alias("star"))
-    named = lists.drop("centre").join(centre, "fp", "left").withColumn("centre", F.coalesce("star", "fp")).drop("star")
+    centre = simhash.least_reachable(close).select(F.col("u").alias("fp"), F.col("v").alias("star"))
+    named = lists.join(centre, "fp", "left").withColumn("centre", F.coalesce("star", "fp")).drop("star")
     mixed = named.groupBy("token").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).where("lo <> hi").select("token")
-    crossing = durable(_pairs(named.join(mixed, "token"), crossing=True).join(taken, ["a", "b"], "left_anti"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    grid = named.join(mixed, "token").withColumn("other", other)
+    crossing = durable(_pairs(grid, F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")), True).join(taken, ["a", "b"], "left_anti"))
     further = _similar(crossing, docs, heads)
-    centre = _star(close.unionByName(further)).select(F.col("u").alias("fp"), F.col("v").alias("star"))
-    kept = F.min(F.struct("absent", "doc_id", "text_key")).alias("best")
-    out = durable(heads.join(centre, "fp", "left").groupBy(F.coalesce("star", "fp").alias("centre")).agg(kept).select("best.doc_id", "best.text_key"))
+    centre = simhash.least_reachable(close.unionByName(further)).select(F.col("u").alias("fp"), F.col("v").alias("star"))
+    least = F.min(F.struct("absent", *DOC)).alias("best")
+    out = durable(heads.join(centre, "fp", "left").groupBy(F.coalesce("star", "fp").alias("centre")).agg(least).select(*(f"best.{c}" for c in DOC)))
     release(heads, lists, taken, close, crossing, further)
     return out
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that kept_texts() names, with all their columns; of rows with one doc_id and
+    text one stays."""
+    kept = kept_texts(docs.select("doc_id", "text")).select(F.col("doc_id").alias("s_doc"), F.col("k1").alias("s1"), F.col("k2").alias("s2"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), *text_keys("text"))
+    found = keyed.join(kept, F.expr("doc <=> s_doc and k1 = s1 and k2 = s2"), "left_semi")
+    return found.dropDuplicates(["doc", "k1", "k2"]).select("row.*")

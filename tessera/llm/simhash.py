@@ -23,50 +23,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, release
 
 NEAR, SHINGLE, SEED = 3, 3, 42
-#: Points the tree is shaped on, points a shard should hold, and the most levels of the routing tree.
-SAMPLE, SHARD, LEVELS = 50_000, 4_000, 12
+#: Points the tree is shaped on at least, points of them a leaf, points a shard should hold, and the most levels of the
+#: routing tree (each adds about a quarter to the points that are dealt out; a shard of any size is split on inside).
+SAMPLE, PER_LEAF, SHARD, LEVELS = 50_000, 12, 4_000, 16
 #: Points a search by breadth is begun with at most, where splitting pays.
 SMALL = 1_024
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of the lower-cased text, repeats included; of all words if they are fewer, of none if
+    there are none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
     joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
     end = np.cumsum(size + 1) - 1
-    start = end - size
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    start = (end - size)[: 1 - shingle]
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(start.tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them; 0 of none."""
     bits = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65_536):
         bits += np.unpackbits(hashes[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fp, a long with the fingerprint's bits, of each row."""
+    """doc_id and fp, a long with the fingerprint's bits, of each row."""
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch["text"]], np.uint64)
-            yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), "text").mapInArrow(taken, "doc_id long, text_key long, fp long")
-
+            yield pa.record_batch([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-def text_key(docs: DataFrame) -> Column:
-    """Tells rows apart that share a doc_id, or have none, but not a text."""
-    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(taken, "doc_id long, fp long")
 
 
 def grow(sample: np.ndarray, levels: int, seed: int = 7) -> list:
@@ -154,7 +160,7 @@ def groups(points: np.ndarray, seed: int = 7) -> np.ndarray:
     return np.array([root(i) for i in range(len(points))], np.int64)
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def least_reachable(edges: DataFrame) -> DataFrame:
     """u -> smallest node that u reaches, for edges u, v with u <> v."""
     edges, sums = durable(edges.distinct()), (F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     state = edges.agg(*sums).first()
@@ -172,12 +178,13 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def components(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def components(prints: DataFrame, shard: int = SHARD) -> DataFrame:
     """fp, component_id (smallest doc_id reachable) and fp_group (some fp of the component, the same for all of it) of
     every distinct fp in prints (doc_id, fp)."""
     points = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = points.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard))))))
+    sample = max(SAMPLE, PER_LEAF << levels)
     chosen = np.array([r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64) if levels else np.zeros(0, np.uint64)
     tree = grow(chosen, levels)
 
@@ -198,7 +205,7 @@ def components(prints: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> D
     stars = durable(sharded.groupBy("leaf").applyInArrow(linked, "fp long, root long"))
     own = stars.groupBy("fp").agg(F.min("root").alias("root"))
     between = stars.join(own.withColumnRenamed("root", "low"), "fp").where("root <> low").select(F.col("root").alias("u"), F.col("low").alias("v"))
-    centre = _star(between)
+    centre = least_reachable(between)
     named = own.join(centre.select(F.col("u").alias("root"), F.col("v").alias("centre")), "root", "left").select("fp", F.coalesce("centre", "root").alias("centre"))
     named = durable(named.join(points, "fp"))
     lowest = named.groupBy("centre").agg(F.min("least").alias("component_id"))
@@ -211,14 +218,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """doc_id and text_key of one row of each component: the smallest doc_id's, of rows that share it the one with the
-    smallest text_key. Only components without any doc_id are stood for by a row that has none."""
-    prints = durable(fingerprints(docs))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("best")
-    return prints.join(components(prints), "fp").groupBy("fp_group").agg(best).select("best.doc_id", "best.text_key").distinct()
-
-
 def op7_vantage_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
