@@ -1,73 +1,88 @@
 """Packing into optimal length buckets.
 
-1. Lengths (words of a text) are counted in a global histogram. Up to ``exact`` every length is a bin of its own, above
-   it bins are 1/64 of a power of two wide, so there are a few thousand bins at most whatever the corpus; a bin counts
-   with its largest length, and with the true sum of its lengths.
-2. Dynamic programming over the bins chooses the ``buckets`` upper bounds that minimise padding, exactly for these bins.
+1. Lengths (words of a text) are counted in a global histogram. It has a row for each distinct length: D of them have
+   D * (D - 1) / 2 words at least, so the square root of twice the corpus's words bounds it, whatever the documents.
+2. Dynamic programming over the distinct lengths chooses the ``buckets`` upper bounds that minimise padding, exactly: the
+   best last cut moves up with the length, so each bucket more is found by divide and conquer.
 3. Each bucket is cut by hash into groups of about ``group`` documents; in a group documents in permuted order fill
-   batches of ``budget // bound`` documents (one at least), so a batch padded to its bucket's bound stays in the budget.
-   Groups bound every window; a bucket has at most one unfilled batch a group.
+   batches of ``budget // bound`` documents, so a batch padded to its bucket's bound stays in the budget. Documents of a
+   bucket whose bound is above the budget are batches of one. Groups bound every window; a bucket has at most one
+   unfilled batch a group.
 
-Null and empty texts have length 0 and are packed like others (a bucket's bound is 1 at least). Repeated rows are
-packed one by one. No text is cut.
+Null and empty texts have length 0 and are packed like others (a bucket's bound is 1 at least). Repeated rows are counted
+first, so a hot one is spread, and packed one by one; which of them gets which place is open. An empty table gives no
+rows. Very long texts are only counted, no text is cut; further columns are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_key, word_count
+from .common import durable, text_keys, word_count
 
-BUCKETS, BUDGET, EXACT, GROUP = 16, 16_384, 1024, 20_000
+BUCKETS, BUDGET, GROUP = 16, 16_384, 20_000
 
 
-def bin_of(length: Column, exact: int = EXACT) -> Column:
-    """The largest length of the bin that length is in."""
-    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6)).cast("long")
-    return F.when(length <= exact, length).otherwise((F.ceil(length / step) * step).cast("long"))
+def _cheapest(before: np.ndarray, lengths: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least before[i] + lengths[j] * (documents in i + 1..j) over i < j, and the i; j = 0 has none.
 
+    All middles of one depth of the recursion are computed at once; their ranges overlap in single places only."""
+    n = len(lengths)
+    best, cut = np.full(n, np.iinfo(np.int64).max // 2), np.zeros(n, np.int32)
+    low, high, first, last = (np.array([x], np.int64) for x in (1, n - 1, 0, n - 2))
+    while len(low):
+        mid = (low + high) // 2
+        size = np.minimum(mid - 1, last) - first + 1
+        of = np.repeat(np.arange(len(mid)), size)
+        begin = np.cumsum(size) - size
+        i = first[of] + np.arange(len(of)) - begin[of]
+        cost = before[i] + lengths[mid[of]] * (total[mid[of] + 1] - total[i + 1])
+        least = np.minimum.reduceat(cost, begin)
+        at = np.flatnonzero(cost == least[of])
+        where = at[np.searchsorted(at, begin)]
+        best[mid], cut[mid] = least, i[where]
+        low, high, first, last = (np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, i[where]), (i[where], last)))
+        some = low <= high
+        low, high, first, last = low[some], high[some], first[some], last[some]
+    return best, cut
 
-def best_bounds(bins: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper bounds, from bins in ascending order, of at most ``buckets`` buckets with the least padded length."""
-    n = len(bins)
-    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    cost = bins * total[1:]  # one bucket for bins 0..j
-    choice = np.zeros((min(buckets, n), n), np.int64)
-    for k in range(1, len(choice)):
-        new = cost.copy()
-        for j in range(1, n):
-            options = cost[:j] + bins[j] * (total[j + 1] - total[1 : j + 1])
-            i = int(options.argmin())
-            if options[i] < new[j]:
-                new[j], choice[k, j] = options[i], i + 1
-        cost = new
-    out, j, k = [], n - 1, len(choice) - 1
-    while j >= 0:
-        out.append(bins[j])
-        while k and not choice[k, j]:
-            k -= 1
-        j, k = (int(choice[k, j]) - 1, k - 1) if k else (-1, 0)
+
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Upper bounds, from distinct lengths in ascending order, of at most ``buckets`` buckets with the least padded
+    length."""
+    lengths = lengths.astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    cost, cuts = lengths * total[1:], []  # one bucket for lengths 0..j
+    for _ in range(min(buckets, len(lengths)) - 1):
+        new, cut = _cheapest(cost, lengths, total)
+        cuts.append(np.where(new < cost, cut, -1))
+        cost = np.minimum(new, cost)
+    out, j = [], len(lengths) - 1
+    for cut in [*reversed(cuts), None]:
+        if cut is None:
+            out.append(lengths[j])
+        elif cut[j] >= 0:
+            out.append(lengths[j])
+            j = int(cut[j])
     return np.array(out[::-1])
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact: int = EXACT, group: int = GROUP, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, group: int = GROUP, seed: int = 7) -> DataFrame:
     """doc_id, length, bucket (from 0), bucket_length, batch (bucket-group-number), slot (from 0), padding of each row."""
-    rows = docs.select("doc_id", text_key(docs).alias("key"), word_count("text").alias("length")).withColumn("bin", bin_of(F.col("length"), exact))
-    histogram = rows.groupBy("bin").count().collect()  # a few thousand bins at most
-    if not histogram:
-        bounds, sizes = np.array([1]), np.array([0])
-    else:
-        bins, counts = np.array(sorted((r["bin"], r["count"]) for r in histogram)).T
-        bounds = best_bounds(bins, counts, buckets)
-        sizes = np.add.reduceat(counts, np.append(0, np.searchsorted(bins, bounds[:-1]) + 1)) if len(bounds) > 1 else np.array([counts.sum()])
+    kinds = durable(docs.select("doc_id", *text_keys("text"), word_count("text").alias("length")).groupBy("doc_id", "k1", "k2", "length").agg(F.count("*").alias("n")))
+    histogram = kinds.groupBy("length").agg(F.sum("n").alias("n")).toArrow().sort_by("length")
+    lengths, counts = (histogram[c].to_numpy() for c in ("length", "n"))
+    bounds = best_bounds(lengths, counts, buckets) if len(lengths) else np.array([1])
+    sizes = np.diff(np.concatenate([[0], np.cumsum(counts)[np.searchsorted(lengths, bounds)]])) if len(lengths) else np.array([0])
     array = lambda x: F.array(*(F.lit(int(v)) for v in x)).cast("array<bigint>")
-    bucket = F.size(F.filter(array(bounds[:-1]), lambda b: b < F.col("bin"))).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+    rows = kinds.withColumn("bucket", F.size(F.filter(array(bounds[:-1]), lambda b: b < F.col("length"))).cast("int"))
     rows = rows.withColumn("bucket_length", F.element_at(array(np.maximum(bounds, 1)), F.col("bucket") + 1))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key"), F.element_at(array(-(-sizes // group) + (sizes == 0)), F.col("bucket") + 1)))
-    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "key"), "doc_id", "key")) - 1
+    rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    key = ["doc_id", "k1", "k2", "repeat"]
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), *key), F.element_at(array(-(-sizes // group) + (sizes == 0)), F.col("bucket") + 1)))
+    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy(F.xxhash64(F.lit(seed + 1), *key), *key)) - 1
     rows = rows.withColumn("place", place).withColumn("room", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length"))))
     return rows.select("doc_id", "length", "bucket", "bucket_length", F.concat_ws("-", "bucket", "group", F.floor(F.col("place") / F.col("room"))).alias("batch"), (F.col("place") % F.col("room")).cast("int").alias("slot"), (F.col("bucket_length") - F.col("length")).alias("padding"))
 
