@@ -51,3 +51,21 @@ def test_stage_keeps_the_threshold(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:36])), (3, " ".join(["u", *words[:35]])), (4, "a b"), (5, "A  b"), (6, None), (7, " ")]
     assert ids(spark, rows) == sorted(kept(rows)) == [1, 4, 6]
     assert ids(spark, [rows[0], (8, " ".join(words[:35]))]) == [1, 8]
+
+
+def test_blocks_of_long_lists(spark, monkeypatch):
+    """Lists cut into many blocks: pairs across blocks are found all the same."""
+    from tessera.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    head = [f"h{k}" for k in range(30)]
+    rows = [(k, " ".join([*head, *(f"g{k % 7}t{j}" for j in range(6 + k % 5)), f"own{k}"])) for k in range(80)]
+    assert ids(spark, rows) == sorted(kept(rows))
+
+
+def test_fingerprint_groups_are_candidates(spark):
+    from tessera.llm import near_copies
+
+    docs = spark.createDataFrame([(1, " ".join(TEXT)), (2, " ".join([*TEXT, "end"])), (3, "a b c")], "doc_id long, text string")
+    heads = near_copies.points(docs, near_copies.common_shingles(docs))
+    assert near_copies._tight(heads).count() == 1

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import html_text, licenses, media, mixing, packing, quality, simhash, substring_dedup, tokens, topk
 
@@ -46,22 +47,70 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_substring_dedup(docs, empty):
+def plain_factors(texts, window=50):
+    """Kept words and factors of each (doc_id, text), by a greedy parse against first occurrences."""
     first = {}
-    for i, t in TEXTS:
+    for i, t in texts:
         w = words(t)
-        for p in range(len(w) - 49):
+        for p in range(len(w) - window + 1):
             if i is not None:
-                key = tuple(w[p : p + 50])
-                first[key] = min(first.get(key, i), i)
-    expected = []
-    for i, t in TEXTS:
-        w = words(t)
-        gone = {j for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for j in range(p, p + 50)}
-        expected.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+                key = tuple(w[p : p + window])
+                first[key] = min(first.get(key, (i, p)), (i, p))
+    out = []
+    for i, t in texts:
+        w, found = words(t), []
+        for p in range(len(w) - window + 1):
+            if i is None or (ref := first[tuple(w[p : p + window])])[0] >= i:
+                continue
+            last = found[-1] if found else None
+            if last and last[-1] == p - 1 and last[2] == ref[0] and ref[1] - last[4] in (0, 1):
+                last[1], last[4], last[5] = last[1] + 1, ref[1], p
+            else:
+                found.append([p, window, *ref, ref[1], p])
+        gone = {j for f in found for j in range(f[0], f[0] + f[1])}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone), tuple(tuple(f[:4]) for f in found)))
+    return sorted(out, key=repr)
+
+
+def parsed(df, **options):
+    found = substring_dedup.substring_dedup(df, **options)
+    return sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept_text, tuple(map(tuple, r.factors))) for r in found.collect()), key=repr)
+
+
+def test_substring_dedup(docs, empty):
+    expected = plain_factors(TEXTS)
+    assert parsed(docs) == expected and any(r[2] for r in expected)
     found = substring_dedup.substring_dedup(docs)
-    assert rows(found.select("doc_id", "n_words", "n_removed", "kept_text")) == sorted(expected, key=repr)
-    assert any(r[2] for r in expected) and substring_dedup.substring_dedup(empty).count() == 0
+    assert found.select("row.*").columns == docs.columns and substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_factors(spark):
+    """Texts made of pieces of each other, over few words, so factors begin and end everywhere and runs repeat."""
+    rng = np.random.default_rng(11)
+    pool, texts = [base(30, k) for k in range(6)] + ["a b", "it it it it"], []
+    for i in range(60):
+        parts = [pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 5))]
+        if texts and rng.random() < 0.7:
+            w = words(texts[rng.integers(len(texts))][1])
+            lo = int(rng.integers(0, max(1, len(w) - 5)))
+            parts.insert(int(rng.integers(len(parts) + 1)), " ".join(w[lo : lo + int(rng.integers(3, 60))]))
+        texts.append((int(rng.integers(0, 40)), " ".join(parts)))
+    texts += [(90, "it " * 80), (91, "x " + "it " * 100 + "y"), (92, "a b " * 60), (93, "c " + "a b " * 50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    expected = plain_factors(texts, 12)
+    assert parsed(df, window=12, gram=4) == expected and sum(len(r[4]) for r in expected) > 100
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    long, other, third = base(60, 1), base(60, 2), base(81, 3)
+    texts = [(1, long), (2, long), (2, third), (2, other), (3, other + " " + third)]
+    assert parsed(spark.createDataFrame(texts, "doc_id long, text string")) == plain_factors(texts)
+
+
+def test_substring_dedup_is_linear_in_repeats(spark):
+    df = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string").unionByName(spark.range(20_000).selectExpr("7L as doc_id", f"'x {PASSAGE} y' as text"))
+    found = substring_dedup.substring_dedup(df).groupBy("row.doc_id", "n_removed", "kept_text").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 0, PASSAGE, 1), (7, 70, "x y", 20_000)]
 
 
 def test_quality(spark, docs, empty):
@@ -188,9 +237,10 @@ def test_components(spark, shard):
 
 
 def test_mixing(spark, docs, empty):
-    sized = mixing.sized(docs.select("doc_id", "text", "source"))
-    found = mixing.mix(sized.drop("text"), block=200).collect()
-    assert len(found) == len(TEXTS) and all(r.mix_taken <= 3 * r.mix_size for r in found)
+    known = mixing.identified(docs.select("doc_id", "text", "source")).drop("text")
+    mixed = mixing.mix(known, block=200)
+    found = mixed.collect()
+    assert len(found) == len(TEXTS) and all(r.mix_taken <= 3 * r.mix_size for r in found) and rows(mixed) == rows(mixing.mix(known, block=200))
     size, taken = {}, {}
     for r in found:
         size[r.source] = size.get(r.source, 0) + r.mix_size
@@ -206,31 +256,86 @@ def test_mixing(spark, docs, empty):
     for r in found:
         target = 3 * size[r.source] if r.source in capped else level * weight[r.source]
         assert r.mix_source_size == size[r.source] and abs(r.mix_target - target) < 1e-6 and abs(taken[r.source] - target) < 1
-    mixed = mixing.mix(sized.drop("text"), block=200)
     dealt = mixing.deal(mixed, levels=2).collect()
     assert sum(r.mix_words for r in dealt) == sum(taken.values())
     slots = {}
     for r in dealt:
-        slots.setdefault((r.source, r.mix_block, r.mix_copy), set()).add(r.mix_shard)
+        slots.setdefault((r.mix_rank, r.mix_block, r.mix_copy), set()).add(r.mix_shard)
     assert all(len(s) == 1 for s in slots.values())
     per = [sum(s == {k} for s in slots.values()) for k in range(4)]
     assert max(per) - min(per) <= 1
-    assert mixing.mix(mixing.sized(empty).drop("text")).count() == 0
-
-
-def test_packing(docs, empty):
+    counts = {r: sum(k[0] == r for k in slots) for r in {k[0] for k in slots}}
+    drawn = mixing.quotas(spark.createDataFrame(list(counts.items()), "mix_rank long, n long"), levels=2).collect()
+    assert {(r.node, r.mix_rank): r.n for r in drawn} == {(k, s): sum(b[0] == s and x == {k} for b, x in slots.items()) for s in counts for k in range(4)}
+    none = mixing.identified(empty.select("doc_id", "text", "source")).drop("text")
+    assert mixing.mix(none).count() == 0 and mixing.deal(mixing.mix(none)).count() == 0
+
+
+def test_hypergeometric_draws(spark):
+    from math import comb
+
+    for total, good, draws in ((20, 8, 10), (50, 3, 25), (7, 7, 3), (9, 0, 4), (300, 120, 150), (1, 1, 0)):
+        at = [F.lit(x).cast("long") for x in (total, good, draws)]
+        drawn = spark.range(8000).select(mixing.hypergeometric(*at, mixing._uniform(1, "x", "id")).alias("k")).groupBy("k").count().collect()
+        seen = {r.k: r["count"] for r in drawn}
+        expected = {k: 8000 * comb(good, k) * comb(total - good, draws - k) / comb(total, draws) for k in range(max(0, draws - total + good), min(draws, good) + 1)}
+        assert set(seen) <= set(expected)
+        large = [k for k in expected if expected[k] >= 5]
+        assert sum((seen.get(k, 0) - expected[k]) ** 2 / expected[k] for k in large) < 3 * len(large) + 10
+
+
+def test_quotas_of_many_sources(spark):
+    counts = spark.range(700).selectExpr("id as mix_rank", "id % 5 + if(id = 0, 900, 1) as n")
+    drawn = mixing.quotas(counts, levels=3).collect()
+    by_source, by_shard = {}, {}
+    for r in drawn:
+        assert r.n >= 0
+        by_source[r.mix_rank] = by_source.get(r.mix_rank, 0) + r.n
+        by_shard[r.node] = by_shard.get(r.node, 0) + r.n
+    assert by_source == {r.mix_rank: r.n for r in counts.collect()} and max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert all(70 < r.n < 155 for r in drawn if r.mix_rank == 0)
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    names = "mix_size mix_r1 mix_block mix_shard n turn part rest".split()
+    texts = [(1, "a b c", "s", None, "u1"), (1, "a b c", "s", "u1", None), (1, "a b c", "s", "u2", "u2"), (2, "d " * 50, "t", "u", "u"), (3, None, None, "u", "u")]
+    rows = [(*t, *range(len(names) - 4)) for t in texts] + [(4, "e", "s", "v", "v", 0, 1, 2, 3)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, url string, URL2 string, " + ", ".join(f"{n} int" for n in names[4:]))
+    found = mixing.mixed_rows(df).select("row.*")
+    taken = [tuple(r) for r in found.collect()]
+    assert found.schema == df.schema and set(taken) <= set(rows)
+    assert all(taken.count(r) <= 3 * rows.count(r) for r in rows) and all(taken.count(r) == 3 * rows.count(r) for r in rows if r[2] == "s")
+
+
+def test_best_bounds():
     from itertools import combinations
 
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        n, most = int(rng.integers(1, 8)), int(rng.integers(1, 6))
+    for _ in range(60):
+        n, most = int(rng.integers(1, 11)), int(rng.integers(1, 6))
         bins, counts = np.sort(rng.choice(30, n, replace=False)), rng.integers(1, 9, n)
         cost = lambda bounds: sum(c * min(b for b in bounds if b >= x) for x, c in zip(bins, counts))  # noqa: B023, E731
         best = min(cost([*c, bins[-1]]) for r in range(min(most, n)) for c in combinations(bins[:-1], r))
         bounds = packing.best_bounds(bins, counts, most)
         assert len(bounds) <= most and cost(bounds) == best
+    lengths, counts = np.unique(rng.integers(0, 50_000, 3000), return_counts=True)
+    bounds = packing.best_bounds(lengths, counts, 8)
+
+    def padded(k):  # plain dynamic programming over all distinct lengths
+        total, cost = np.concatenate([[0], np.cumsum(counts)]), None
+        for _ in range(k):
+            once = lengths * total[1:]
+            cost = once if cost is None else np.array([min([once[j], *(cost[:j] + lengths[j] * (total[j + 1] - total[1 : j + 1]))]) for j in range(len(lengths))])
+        return cost[-1]
+
+    assert sum(c * bounds[np.searchsorted(bounds, x)] for x, c in zip(lengths, counts, strict=True)) == padded(8)
+
+
+def test_packing(spark, docs, empty):
     found = packing.pack(docs, buckets=4, budget=500, group=5).collect()
-    assert sorted(r.length for r in found) == sorted(len(words(t)) for _, t in TEXTS)
+    assert sorted((r.doc_id is None, r.doc_id, r.length) for r in found) == sorted((i is None, i, len(words(t))) for i, t in TEXTS)
+    lengths, counts = np.unique([len(words(t)) for _, t in TEXTS], return_counts=True)
+    assert {r.bucket_length for r in found} == set(np.maximum(1, packing.best_bounds(lengths, counts, 4)))
     batches = {}
     for r in found:
         assert r.padding == r.bucket_length - r.length >= 0
@@ -239,6 +344,8 @@ def test_packing(docs, empty):
         assert len(rs) == 1 or len(rs) * rs[0].bucket_length <= 500
         assert sorted(r.slot for r in rs) == list(range(len(rs)))
     assert packing.pack(empty).count() == 0
+    same = packing.pack(spark.range(3000).selectExpr("1L as doc_id", "'a b c' as text"), budget=30, group=100).collect()
+    assert len(same) == 3000 and len({(r.batch, r.slot) for r in same}) == 3000 and len({r.batch.split("-")[1] for r in same}) == 30
 
 
 def test_media(docs, empty):
