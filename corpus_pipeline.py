@@ -8,11 +8,11 @@ Stages carry a row's columns in one struct, so further columns of any name pass
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_copies, packing, quality, simhash, substring_dedup
-from tessera.llm.common import SPACE, durable, text_key
+from tessera.llm import mixing, near_copies, packing, quality, substring_dedup
+from tessera.llm.common import durable
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,42 +22,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col(scored.columns[-1]) >= 0.5).select(*docs.columns)
 
 
-def _with_text(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
-    """The columns of docs from the struct ``row``, with another text; n_chars follows a text that was changed."""
-    row = F.col("row")
-    new = {"text": text, "n_chars": F.when(changed, F.length(text)).otherwise(row["n_chars"]) if "n_chars" in docs.columns else None}
-    return [new.get(c, row[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the row with the smallest doc_id, once; a
     row without doc_id only if all are."""
-    joined = lambda doc, key: F.xxhash64(doc.cast("long"), key)  # noqa: E731  one long that deals out both sides
-    kept = durable(near_copies.one_of_each(docs).withColumn("k_row", joined(F.col("doc_id"), F.col("text_key"))).withColumnRenamed("doc_id", "k_doc"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_doc"), simhash.text_key(docs).alias("d_key"), joined(docs["doc_id"], simhash.text_key(docs)).alias("d_row"))
-    found = keyed.join(kept, F.expr("d_row = k_row and d_doc <=> k_doc and d_key = text_key"), "left_semi")
-    return found.dropDuplicates(["d_row", "d_doc", "d_key"]).select("row.*")
+    return near_copies.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their words in duplicate spans; texts without such spans stay as they are, emptied ones go."""
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", text_key(docs).alias("text_key"))
-    found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select("doc_id", "text_key", "kept_text").dropDuplicates(["doc_id", "text_key"])
-    cut = keyed.join(found, ["doc_id", "text_key"], "left").where("kept_text is null or kept_text <> ''")
-    return cut.select(*_with_text(docs, F.coalesce("kept_text", F.col("row")["text"]), F.col("kept_text").isNotNull()))
+    """Texts without their words in duplicate spans (n_chars follows); texts without such spans stay as they are, emptied
+    ones go."""
+    found = substring_dedup.substring_dedup(docs).where("n_removed = 0 or kept_text <> ''")
+    cut, row = F.col("n_removed") > 0, F.col("row")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    column = lambda c: F.when(cut, new[c]).otherwise(row[c]).cast(docs.schema[c].dataType) if c in new else row[c]
+    return found.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; where it takes part of one, that many words from its beginning."""
-    sized = mixing.sized(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"))
-    dealt = mixing.deal(mixing.mix(sized.select("doc_id", "source", "mix_size", "mix_key")))
-    row = F.xxhash64("doc_id", "source", "mix_key").alias("mix_row")  # one long that deals out both sides
-    takings = dealt.select(row, F.col("doc_id").alias("t_id"), F.col("mix_key").alias("t_key"), F.col("source").alias("t_source"), "mix_words")
-    texts = sized.select("*", row).repartition("mix_row").dropDuplicates(["mix_row", "doc_id", "source", "mix_key"])
-    rows = durable(takings).join(texts, "mix_row").where("t_id <=> doc_id and t_key = mix_key and t_source <=> source")
-    part = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^[{SPACE}]+", ""), f"[{SPACE}]+"), F.lit(1), F.col("mix_words").cast("int")), " ")
-    cut = F.col("mix_words") < F.col("mix_size")
-    return rows.select(*_with_text(docs, F.when(cut, part).otherwise(F.col("text")), cut))
+    """Documents, whole, as often as the mix takes them, shard by shard in the order that the local shuffles give."""
+    return mixing.mixed_rows(docs).select("row.*")
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
