@@ -331,26 +331,79 @@ def test_packing(spark, docs, empty):
 
 def test_media(docs, empty):
     texts = dict((i, t) for i, t in TEXTS)
-    assert media.digest(media.encode(empty)).count() == 0
+    assert media.digest(media.encode(empty)).count() == 0 and media.clips(media.encode(empty)).count() == 0
     for r in media.digest(media.encode(docs)).collect():
         payload = media.payload_of(texts[r.doc_id] if r.doc_id is not None else base(120, 0))
         assert r.n_bytes == len((texts.get(r.doc_id, base(120, 0)) or "").encode()) and r.payload_bytes == len(payload)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_sha256 == hashlib.sha256(media.write_avi(payload)).hexdigest()
-    assert media.clips(media.encode(docs)).where("n_frames < 1").count() == 0
-
-
-def test_media_round_trip():
+        assert (r.feature, r.clips) == plain_feature(payload)
+    found = {}
+    for c in media.clips(media.encode(docs.where("doc_id <> 10"))).collect():
+        found.setdefault(c.doc_id, []).append((c.clip, c.start_ms, c.end_ms, c.first_frame, c.n_frames))
+    for i, rows_ in found.items():
+        times = plain_feature(media.payload_of(texts[i]))[1].split(",")
+        assert [(f"{a}-{b}", k, 40 * f, 40 * (f + n)) for k, a, b, f, n in sorted(rows_)] == [(t, k, *map(int, t.split("-"))) for k, t in enumerate(times)]
+
+
+def plain_samples(unit):
+    """The 576 samples of a frame, block by block, from its bytes, by the definition of the inverse transform."""
+    zigzag = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    out = []
+    for b in range(9):
+        values = [v if v >= 128 else v - 255 for v in unit[64 * b : 64 * b + 64]]
+        dc = values[0] if b % 3 == 0 else dc + values[0]  # noqa: F821
+        values[0] = dc
+        for y in range(8):
+            for x in range(8):
+                s = 0.0
+                for (u, v), c in zip(zigzag, values, strict=True):
+                    s += (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4 * c * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16)
+                out.append(min(255, max(0, round(s) + 128)))
+    return out
+
+
+KNOWN = {}
+
+
+def plain_feature(payload):
+    frames = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+    for f in frames:
+        if f not in KNOWN:
+            KNOWN[f] = plain_samples(f)
+    counts = [[sum(x >> 4 == b for x in KNOWN[f]) for b in range(16)] for f in frames]
+    change = [0.0] + [sum(abs(x - y) for x, y in zip(a, b)) / (2 * 576) for a, b in zip(counts, counts[1:])]
+    starts = [0]
+    for k in range(1, len(frames)):
+        before = change[max(1, k - 8) : k] or [0.0]
+        if change[k] > 0.12 and change[k] > np.mean(before) + 3 * np.std(before) + 1e-9:
+            starts.append(k)
+    ends = [*starts[1:], len(frames)]
+    light = sum(sum(KNOWN[f]) for f in frames) / (576 * len(frames))
+    feature = f"frames={len(frames)};shots={len(starts)};longest={max(b - a for a, b in zip(starts, ends))};peak={max(change):.4f};brightness={light:.3f}"
+    return feature, ",".join(f"{40 * a}-{40 * b}" for a, b in zip(starts, ends))
+
+
+def test_media_round_trip(monkeypatch):
+    monkeypatch.setattr(media, "CHUNK", 20)
     for n in (1, 2, 7, 50):
         payload = os.urandom(576 * n)
         avi = media.write_avi(payload)
         assert media.decode_frames(avi).tobytes() == payload
         # the bitwise decoder reads the same bytes: a header that differs keeps the fast way out
-        at = media.read_index(avi)
-        k = int(at[0, 0]) + 6
+        k = int(media.read_index(avi)[0, 0]) + 6
         other = bytearray(avi)
-        other[k] = 2  # a quantisation step, which coefficients do not depend on
+        other[k] = 2  # a quantisation step, which coefficients do not depend on, but samples do
         if n > 1:
             assert media.decode_frames(bytes(other)).tobytes() == payload
-    cut, _ = media.shots(np.concatenate([np.zeros((20, 576), np.uint8), np.full((20, 576), 200, np.uint8)]))
-    assert cut.tolist() == [0, 20]
+
+
+def test_pictures_and_shots():
+    unit = os.urandom(576)
+    (_, samples), = media.decode(media.write_avi(unit))
+    blocks = [samples[0, 8 * r : 8 * r + 8, 8 * c : 8 * c + 8].ravel().tolist() for r in range(3) for c in range(3)]
+    assert sum(blocks, []) == plain_samples(unit)
+    frames = np.concatenate([np.zeros((20, 24, 24), np.uint8), np.full((20, 24, 24), 200, np.uint8)])
+    assert media.shots(media.histograms(frames))[0].tolist() == [0, 20]
+    avi = media.write_avi(bytes(576) * 20 + bytes([200]) * 576 * 20)
+    assert media.shots(np.concatenate([media.histograms(s) for _, s in media.decode(avi)]))[0].tolist() == [0, 20]
