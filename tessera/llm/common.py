@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words, as a Java and DuckDB character class.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of the batches that go to Python workers, unless the session sets its own.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[str] = []
 
 
@@ -29,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow(), with batches of about BATCH_BYTES: texts may be long, and by default only rows are counted."""
+    if int(df.sparkSession.conf.get(_BATCH, str(2**31 - 1))) >= 2**31 - 1:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage is cut and lost executors cost nothing.
 

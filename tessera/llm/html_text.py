@@ -29,6 +29,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 _VALUE = r"\"[^\"]*+\"?+|'[^']*+'?+|[^\s>\"'][^\s>]*+"
 #: A tag from its name on, all quantifiers possessive: it matches to ">" or the end of the page in one pass.
 TAG = re.compile(rf"([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+|=)*+)(>|\Z)")
@@ -424,7 +426,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.record_batch([part["page_id"], *columns], ["page_id", "visible_text", "n_blocks", "n_items", "n_rows"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "html").mapInArrow(rendered, f"page_id {kind}, visible_text string, n_blocks long, n_items long, n_rows long")
+    return in_batches(pages.select("page_id", "html"), rendered, f"page_id {kind}, visible_text string, n_blocks long, n_items long, n_rows long")
 
 
 def op4_rendered_html(spark, sf_dir: str) -> DataFrame:

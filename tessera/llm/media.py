@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 UNIT, SIDE, RATE = 576, 24, 25
 BINS, SPAN, FLOOR = 16, 8, 0.12
 #: Frames that are coded or decoded at once.
@@ -308,7 +310,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
                 yield pa.record_batch([part["doc_id"], pa.array(sizes, pa.int64()), pa.array([write_avi(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(written, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return in_batches(docs.select("doc_id", "text"), written, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def _clips(first: np.ndarray, frames: int) -> list[tuple[int, int, int, int]]:
@@ -329,7 +331,7 @@ def clips(media: DataFrame) -> DataFrame:
                 columns = [range(len(found)), *zip(*found, strict=True), [float(bright[a : a + n].mean()) for *_, a, n in found]]
                 yield pa.record_batch([pa.array([doc.as_py()] * len(found), batch["doc_id"].type), *(pa.array(c, pa.int64() if k < 5 else pa.float64()) for k, c in enumerate(columns))], ["doc_id", "clip", "start_ms", "end_ms", "first_frame", "n_frames", "brightness"])
 
-    return media.select("doc_id", "media").mapInArrow(cut, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, clip long, start_ms long, end_ms long, first_frame long, n_frames long, brightness double")
+    return in_batches(media.select("doc_id", "media"), cut, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, clip long, start_ms long, end_ms long, first_frame long, n_frames long, brightness double")
 
 
 def _read(avi: bytes) -> tuple:
@@ -357,7 +359,7 @@ def digest(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.record_batch([batch["doc_id"], batch["n_bytes"], *(pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(columns, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return in_batches(media.select("doc_id", "n_bytes", "media"), read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
 def op10_motion_jpeg(spark, sf_dir: str) -> DataFrame:

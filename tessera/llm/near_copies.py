@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, release, text_keys
+from .common import durable, in_batches, release, text_keys
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -78,7 +78,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             for t in batch["text"]:
                 yield pa.record_batch([pa.array(shingles(t.as_py()).view(np.int64))], ["token"])
 
-    often = some.mapInArrow(each, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
+    often = in_batches(some, each, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
     rows = often.orderBy(F.desc("count"), "token").limit(MOST).collect()
     tokens, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.uint64)
     order = np.argsort(tokens)
@@ -103,7 +103,7 @@ def points(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sims), *(pa.array(list(map(f, sets)), pa.binary()) for f in (sketch, wide_sketch)), pa.array(prefixes, pa.list_(pa.int64()))]
                 yield pa.record_batch([*(batch[c] for c in DOC), *columns], [*DOC, "fp", "n", "sim", "sketch", "wide", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), *text_keys("text"), "text").mapInArrow(taken, "doc_id long, k1 long, k2 long, fp long, n int, sim long, sketch binary, wide binary, prefix array<long>")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), *text_keys("text"), "text"), taken, "doc_id long, k1 long, k2 long, fp long, n int, sim long, sketch binary, wide binary, prefix array<long>")
 
 
 def _possible(n: np.ndarray, bits: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _pairs(lists: DataFrame, cell: Column, crossing: bool) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     dealt = lists.withColumn("cell", cell).repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.select("cell", "fp", "n", "sketch", "centre", "block").mapInArrow(found, "a long, b long").distinct()
+    return in_batches(dealt.select("cell", "fp", "n", "sketch", "centre", "block"), found, "a long, b long").distinct()
 
 
 def _narrowed(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _narrowed(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
     bits = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sketch"))
     x = pairs.join(heads.select(F.col("fp").alias("a"), "n", bits.alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("n").alias("m"), bits.alias("y")), "b")
-    return x.select("a", "b", "n", "m", "x", "y").mapInArrow(left, "a long, b long")
+    return in_batches(x.select("a", "b", "n", "m", "x", "y"), left, "a long, b long")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
                 some = batch.slice(lo, 256)
                 yield pa.record_batch([some["fp"], pa.array([shingles(t.as_py()).view(np.int64) for t in some["text"]], pa.list_(pa.int64()))], ["fp", "tokens"])
 
-    sets = durable(texts.mapInArrow(each, "fp long, tokens array<long>").dropDuplicates(["fp"]))
+    sets = durable(in_batches(texts, each, "fp long, tokens array<long>").dropDuplicates(["fp"]))
     x = narrow.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
     shared = x.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("n"))
     out = durable(shared.where(F.col("both") * LEAST[1] >= (F.col("n") - F.col("both")) * LEAST[0]).select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release
+from .common import durable, in_batches, release
 
 NEAR, SHINGLE, SEED = 3, 3, 42
 #: Points the tree is shaped on at least, points of them a leaf, points a shard should hold, and the most levels of the
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch["text"]], np.uint64)
             yield pa.record_batch([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(taken, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), taken, "doc_id long, fp long")
 
 
 def grow(sample: np.ndarray, levels: int, seed: int = 7) -> list:
@@ -201,7 +201,7 @@ def components(prints: DataFrame, shard: int = SHARD) -> DataFrame:
         return pa.table([pa.array(fps[member]), pa.array(fps[first[member]])], ["fp", "root"])
 
     # shards are few bytes and much work: a task each, which size-based coalescing would undo
-    sharded = points.select("fp").mapInArrow(routed, "leaf int, fp long").repartition(1 << levels, "leaf")
+    sharded = in_batches(points.select("fp"), routed, "leaf int, fp long").repartition(1 << levels, "leaf")
     stars = durable(sharded.groupBy("leaf").applyInArrow(linked, "fp long, root long"))
     own = stars.groupBy("fp").agg(F.min("root").alias("root"))
     between = stars.join(own.withColumnRenamed("root", "low"), "fp").where("root <> low").select(F.col("root").alias("u"), F.col("low").alias("v"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import Rolling, durable, release, text_keys, words_of
+from .common import Rolling, durable, in_batches, release, text_keys, words_of
 
 WINDOW, GRAM = 50, 16
 #: Odd bases of the rolling hashes: of anchors, and of the two halves of fingerprints.
@@ -99,7 +99,7 @@ def phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                     ints = (pa.array(x.astype(np.int32)) for x in (first, count, repeats))
                     yield pa.record_batch([*(some[c].take(of) for c in DOC), _signed(a), _signed(f), _signed(g), *ints], [*DOC, "anchor", *PHRASE, "first", "windows", "repeats"])
 
-    return _keyed(docs).mapInArrow(parse, "doc_id long, k1 long, k2 long, anchor long, fp1 long, fp2 long, first int, windows int, repeats int")
+    return in_batches(_keyed(docs), parse, "doc_id long, k1 long, k2 long, anchor long, fp1 long, fp2 long, first int, windows int, repeats int")
 
 
 def _opened(lists: DataFrame, window: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _opened(lists: DataFrame, window: int) -> DataFrame:
                 prints = (_signed(r.span(s, start, start + window)) for r, s in zip(rolls, sums, strict=True))
                 yield pa.record_batch([*prints, *(listed.values.field(k).take(of) for k in (2, 3)), pa.array(off.astype(np.int32)), pa.array(np.full(len(off), doc.as_py())), pa.array(start.astype(np.int32))], ["w1", "w2", *PHRASE, "off", "doc_id", "start"])
 
-    return lists.mapInArrow(open_, "w1 long, w2 long, fp1 long, fp2 long, off int, doc_id long, start int")
+    return in_batches(lists, open_, "w1 long, w2 long, fp1 long, fp2 long, off int, doc_id long, start int")
 
 
 def references(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -215,7 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     spans = references(docs.select("doc_id", "text"), window, gram).select(F.col("doc_id").alias("s_doc"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "held")
     joined = keyed.join(spans, F.expr("doc <=> s_doc and k1 = s1 and k2 = s2"), "left").select("row", "doc", "held")
     schema = StructType([StructField("row", docs.select(F.struct("*").alias("row")).schema[0].dataType), *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in out)).fields])
-    return joined.mapInArrow(remove, schema)
+    return in_batches(joined, remove, schema)
 
 
 def op1_rlz_substring_dedup(spark, sf_dir: str) -> DataFrame:

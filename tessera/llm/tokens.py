@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import in_batches, words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose counts a task remembers; the memory is emptied when full.
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes] | None = None) -> Data
             yield pa.record_batch([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_bytes))], ["doc_id", "n_words", "n_tokens", "n_bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(counted, f"doc_id {kind}, n_words long, n_tokens long, n_bytes long")
+    return in_batches(docs.select("doc_id", F.col("text")), counted, f"doc_id {kind}, n_words long, n_tokens long, n_bytes long")
 
 
 def op5_longest_match_tokens(spark, sf_dir: str) -> DataFrame:
