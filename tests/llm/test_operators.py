@@ -117,14 +117,63 @@ def test_quality(spark, docs, empty):
     good = [(i, base(80, i) + ".") for i in range(200)]
     bad = [(i, " ".join(w + "###" for w in base(80, i).split())) for i in range(200, 260)]
     many = spark.createDataFrame(good + bad, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 260, 2)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 260, 2)] + [(0, 1), (None, 1), (2, None)], "doc_id long, quality int")
     model = quality.fit(many, labels)
     found = {r.doc_id: r.quality_score for r in quality.score(many, model).collect()}
     assert np.mean([(found[i] >= 0.5) == (i < 200) for i in found]) > 0.97
+    positives_only = quality.fit(many, labels.where("quality = 1"))
+    assert np.allclose(positives_only.weights, model.weights)  # no label 0 is looked at
     odd = quality.score(docs, model)
     assert "quality_score_" in odd.columns and odd.count() == len(TEXTS) and quality.score(empty, model).count() == 0
-    blank = quality.fit(many, labels.where("false"))
-    assert quality.score(many.limit(3), blank).first().quality_score == 0.5
+    for blank in (quality.fit(many, labels.where("false")), quality.fit(empty, labels), quality.fit(many.where("false"), labels)):
+        assert quality.score(many.limit(3), blank).first().quality_score == 0.5
+
+
+def test_moments_are_of_all_texts(spark):
+    texts = [(None if k % 3 == 0 else k % 2, base(20 + k, k) if k else None) for k in range(40)]
+    x = np.array([[*quality.features(t).astype(float), 1.0] for _, t in texts])
+    halves = np.array([-1 if h is None else h for h, _ in texts])
+    for found, some in zip(quality._moments(spark.createDataFrame(texts, "half int, text string")), (x, x[halves == 0], x[halves == 1]), strict=True):
+        assert np.allclose(found, some.T @ some)
+
+
+def test_non_negative_risk():
+    """The risk from moments is that of the rows, and no nearby weights have a lower one."""
+    rng = np.random.default_rng(2)
+    p, n = rng.normal(0.4, 1, (3000, quality.WIDTH)), rng.normal(-0.4, 1, (2000, quality.WIDTH))
+    u = np.vstack([rng.normal(0.4, 1, (6000, quality.WIDTH)), n])
+    one = lambda a: np.hstack([a, np.ones((len(a), 1))])
+    moments = [one(a).T @ one(a) for a in (p, u)]
+    loss = lambda z: (1 - z) ** 2 / 4
+    scale = np.maximum(u.std(0), 0.02)
+
+    def risk(w, b, prior):
+        gp, gu = p @ w + b, u @ w + b
+        return prior * loss(gp).mean() + max(0, loss(-gu).mean() - prior * loss(-gp).mean()) + quality.DECAY * ((w * scale) ** 2).sum()
+
+    for prior in (0.5, 0.75, 0.95):
+        model = quality.train(*moments, prior)
+        least = risk(model.weights, model.bias, prior)
+        for _ in range(20):
+            step = rng.normal(0, 0.02, quality.WIDTH)
+            assert risk(model.weights + step, model.bias + rng.normal(0, 0.05), prior) > least - 1e-3
+        if prior == 0.75:  # the true one
+            assert np.mean([*(p @ model.weights + model.bias > 0), *(n @ model.weights + model.bias < 0)]) > 0.85
+
+
+def test_class_prior():
+    rng = np.random.default_rng(4)
+    for prior in (0.2, 0.5, 0.85):
+        scores = lambda share, n: np.where(rng.random(n) < share, rng.normal(1, 0.5, n), rng.normal(-1, 0.5, n))
+        hist = lambda x: np.histogram(x, quality.BINS, (-4, 4))[0]
+        assert abs(quality.class_prior(hist(scores(1, 5000)), hist(scores(prior, 50_000))) - prior) < 0.04
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = [(r.predicted, truth[r.doc_id]) for r in quality.op2_pu_quality(spark, sf).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(found) > 50 and np.mean([a == b for a, b in found]) > 0.95
 
 
 def test_top_k(spark):
