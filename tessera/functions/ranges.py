@@ -78,6 +78,35 @@ def matches(column: Column, text: str | None) -> Column:
     return reduce(Column.__or__, [*([column.isin(exact)] if exact else []), *tests])
 
 
+def lookup(column: Column, text: str | None) -> Column:
+    """Predicate of a lookup list: keys, prefixes ``a*`` and ranges ``a,:,b,`` in any mixture.
+
+    In a list of three items ``a,:,b,`` a last one that contains "end" leaves the range open above, an empty first one
+    open below. ``:``, an empty string and None are everything.
+    """
+    items = text[:-1].split(text[-1]) if text and text != ":" else [":"]
+    if items == [":"]:
+        return F.lit(True)
+    if len(items) == 3 and items[1] == ":" and "end" in items[2]:
+        items = items[:2]
+    tests, exact, k = [], [], 0
+    while k < len(items):
+        if items[k] != ":" and items[k + 1 : k + 2] != [":"]:
+            if items[k].endswith("*"):
+                tests.append(F.startswith(column, F.lit(items[k][:-1])))
+            else:
+                exact.append(items[k])
+            k += 1
+            continue
+        low, k = ("", k + 1) if items[k] == ":" else (items[k], k + 2)
+        high, k = items[k] if k < len(items) else "", k + 1
+        if high == ":" or low and high and low > high:
+            raise ValueError(f"malformed range in {text!r}")
+        sides = [*([column >= low] if low else []), *([column <= high] if high else [])]
+        tests.append(reduce(Column.__and__, sides or [F.lit(True)]))
+    return reduce(Column.__or__, [*([column.isin(exact)] if exact else []), *tests])
+
+
 def prefixed(text: str, prefix: str) -> str:
     """The range string with a prefix before every key."""
     if not text:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,72 +17,148 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(core.transpose(edges)).distinct()
 
 
-def bfs(edges: DataFrame, start: DataFrame, steps: int, low: int | None = None, high: int | None = None, union: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Edges walked in exactly ``steps`` rounds (an edge walked in s rounds has s times its value) and the nodes
-    reached in the last round, or in any with ``union``. low, high: out-degrees of nodes that are walked from.
+class Walk(NamedTuple):
+    """walked: the edges with their values times the rounds they were walked in; reached: the nodes of the last round or,
+    with union, of any; steps: the entries of all rounds before they are combined (their number is what the walk writes);
+    degrees: node, deg, where asked for."""
+
+    walked: DataFrame
+    reached: DataFrame
+    steps: DataFrame
+    degrees: DataFrame | None = None
+
+
+Start = DataFrame | str | None
+
 
-    From the third round on the frontier is checkpointed, so plans do not grow with the rounds."""
-    frontier, walked, reached = start.select("node").distinct(), None, None
-    allowed = core.min_max(core.degrees(edges), low, high, "deg").select("node") if low is not None or high is not None else None
+def _first(nodes: DataFrame, start: Start) -> DataFrame:
+    """The start nodes: a table of them, a range string over all nodes, or all (None, or an empty string)."""
+    if isinstance(start, DataFrame):
+        return start.select("node").distinct()
+    return core.select_range(nodes.select("node").distinct(), start or None, "node")
+
+
+def _allowed(degrees: DataFrame, low: int | None, high: int | None) -> DataFrame | None:
+    return core.min_max(degrees, low, high, "deg").select("node") if low is not None or high is not None else None
+
+
+def _rounds(frontier: DataFrame, steps: int, allowed: DataFrame | None, walk: Callable[[DataFrame], tuple[DataFrame, DataFrame]], none: DataFrame, union: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Steps, reached nodes and the frontiers walked from. From the third round on the frontier is checkpointed, so plans
+    do not grow with the rounds, and the walk ends where it is empty."""
+    taken, fronts, reached = none, [], frontier.limit(0)
     for k in range(steps):
         if k > 1:
             frontier = checkpointed(frontier)
+            if frontier.isEmpty():
+                return taken, reached if union else frontier, fronts
         if allowed is not None:
             frontier = frontier.join(allowed, "node", "left_semi")
+        fronts.append(frontier)
+        step, frontier = walk(frontier)
+        taken = step if k == 0 else taken.unionByName(step)
+        reached = reached.unionByName(frontier).distinct() if union and k else frontier
+    return taken, reached, fronts
+
+
+def bfs(edges: DataFrame, start: Start, steps: int, low: int | None = None, high: int | None = None, union: bool = False, degrees: DataFrame | None = None) -> Walk:
+    """Edges walked in ``steps`` rounds and the nodes reached. low, high: out-degrees of nodes that are walked from, by a
+    table of degrees (node, deg), or by their entries if none is given. Nodes may be visited again."""
+    if steps > 1:
+        edges = checkpointed(edges.select("row", "col", "val"))
+    frontier = _first(edges.select(F.col("row").alias("node")), start)
+    allowed = _allowed(core.degrees(edges) if degrees is None else degrees, low, high)
+
+    def walk(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = edges.join(frontier.withColumnRenamed("node", "row"), "row", "left_semi").select("row", "col", "val")
-        walked = step if walked is None else walked.unionByName(step)
-        frontier = step.select(F.col("col").alias("node")).distinct()
-        reached = frontier if reached is None or not union else reached.unionByName(frontier).distinct()
-    return core.combine(walked), reached
-
-
-def bfs_incidence(incidence: DataFrame, start: DataFrame, steps: int, starts: tuple[str, ...] = ("out",), ends: tuple[str, ...] = ("in",)) -> tuple[DataFrame, DataFrame]:
-    """The same over (edge, role, node, val). A start entry is given once for each end of its edge."""
-    frontier, walked, reached = start.select("node").distinct(), None, None
-    for k in range(steps):
-        if k > 1:
-            frontier = checkpointed(frontier)
-        s = incidence.where(F.col("role").isin(*starts)).join(frontier, "node", "left_semi")
+        return step, step.select(F.col("col").alias("node")).distinct()
+
+    taken, reached, _ = _rounds(frontier, steps, allowed, walk, edges.select("row", "col", "val").limit(0), union)
+    return Walk(core.combine(taken), reached, taken)
+
+
+def bfs_incidence(
+    incidence: DataFrame, start: Start, steps: int, starts: tuple[str, ...] = ("out",), ends: tuple[str, ...] = ("in",), low: int | None = None, high: int | None = None,
+    union: bool = False, degrees: DataFrame | None = None, visibility: str | None = None,
+) -> Walk:
+    """The same over (edge, role, node, val). A start entry is given once for each end of its edge. Degrees must be given
+    where low or high are. visibility: a column vis with that label, in place of what was there."""
+    if any(a != b and a.startswith(b) for a in ends for b in ends):
+        raise ValueError(f"an end role is the beginning of another: {ends}")
+    if degrees is None and (low is not None or high is not None):
+        raise ValueError("a degree filter needs a table of degrees")
+    if steps > 1:
+        incidence = checkpointed(incidence.select("edge", "role", "node", "val"))
+    sources = incidence.where(F.col("role").isin(*starts))
+    frontier = _first(sources, start)
+
+    def walk(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
         e = incidence.where(F.col("role").isin(*ends)).select("edge", *(F.col(c).alias(f"e_{c}") for c in ("role", "node", "val")))
-        both = s.join(e, "edge").select("edge", F.explode(F.array(F.struct("role", "node", "val"), F.struct(F.col("e_role").alias("role"), F.col("e_node").alias("node"), F.col("e_val").alias("val")))).alias("x"), "e_node")
-        step = both.select("edge", "x.*")
-        walked = step if walked is None else walked.unionByName(step)
-        reached = frontier = both.select(F.col("e_node").alias("node")).distinct()
-    return walked.groupBy("edge", "role", "node").agg(F.sum("val").alias("val")), reached
+        end = F.struct(F.col("e_role").alias("role"), F.col("e_node").alias("node"), F.col("e_val").alias("val"))
+        both = sources.join(frontier, "node", "left_semi").join(e, "edge").select("edge", F.explode(F.array(F.struct("role", "node", "val"), end)).alias("x"), "e_node")
+        return both.select("edge", "x.*"), both.select(F.col("e_node").alias("node")).distinct()
+
+    taken, reached, _ = _rounds(frontier, steps, _allowed(degrees, low, high), walk, incidence.select("edge", "role", "node", "val").limit(0), union)
+    walked = taken.groupBy("edge", "role", "node").agg(F.sum("val").alias("val"))
+    return Walk(walked if visibility is None else walked.withColumn("vis", F.lit(visibility)), reached, taken)
 
 
-def bfs_single_table(edges: DataFrame, start: DataFrame, steps: int, low: int | None = None, high: int | None = None) -> tuple[DataFrame, DataFrame]:
+def bfs_single_table(
+    edges: DataFrame, start: Start, steps: int, low: int | None = None, high: int | None = None, union: bool = False, degrees: DataFrame | None = None,
+    copy_degrees: bool = False, in_degrees: str | None = None,
+) -> Walk:
     """Over a single table of edges in both directions: every edge walked is also given reversed, unless its end is in
-    the frontier itself and so gives it of its own."""
-    frontier, walked, reached = start.select("node").distinct(), None, None
-    allowed = core.min_max(core.degrees(edges), low, high, "deg").select("node") if low is not None or high is not None else None
-    for k in range(steps):
-        if k > 1:
-            frontier = checkpointed(frontier)
-        if allowed is not None:
-            frontier = frontier.join(allowed, "node", "left_semi")
+    the frontier itself and so gives it of its own.
+
+    degrees: a table of node and deg (the nodes' entries if none is given). copy_degrees: the degrees of the nodes walked
+    from, once for each round. in_degrees: also those of nodes reached that were never walked from, as the "count" of
+    their walked edges or the "sum" of their values."""
+    if steps > 1:
+        edges = checkpointed(edges.select("row", "col", "val"))
+    degrees = core.degrees(edges) if degrees is None else degrees
+    frontier = _first(edges.select(F.col("row").alias("node")), start)
+
+    def walk(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = edges.join(frontier.withColumnRenamed("node", "row"), "row", "left_semi").select("row", "col", "val")
         back = core.transpose(step.join(frontier.withColumnRenamed("node", "col"), "col", "left_anti"))
-        walked = step.unionByName(back) if walked is None else walked.unionByName(step).unionByName(back)
-        reached = frontier = step.select(F.col("col").alias("node")).distinct()
-    return core.combine(walked), reached
+        return step.unionByName(back), step.select(F.col("col").alias("node")).distinct()
+
+    taken, reached, fronts = _rounds(frontier, steps, _allowed(degrees, low, high), walk, edges.select("row", "col", "val").limit(0), union)
+    walked, known = core.combine(taken), None
+    from_ = reduce(DataFrame.unionByName, fronts) if fronts else frontier.limit(0)
+    if copy_degrees:
+        known = from_.join(degrees.select("node", "deg"), "node").groupBy("node").agg(F.sum("deg").alias("deg"))
+    if in_degrees:
+        size = F.count("*") if in_degrees == "count" else F.sum("val")
+        asked = walked.join(from_.withColumnRenamed("node", "row"), "row", "left_anti").groupBy(F.col("row").alias("node")).agg(size.alias("deg"))
+        known = asked if known is None else known.unionByName(asked)
+    return Walk(walked, reached, taken, known)
+
 
+def _plain(edges: DataFrame) -> DataFrame:
+    """Each undirected edge once, as row < col, without loops."""
+    return edges.where("row <> col").select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col")).distinct()
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    """Each undirected edge once, from its end of lower degree, so hubs make few wedges."""
-    edges = core.triangle(undirected(edges.select("row", "col", F.lit(1).alias("val"))), "no_diagonal")
-    deg = core.degrees(edges)
-    x = edges.join(deg.select(F.col("node").alias("row"), F.col("deg").alias("dr")), "row").join(deg.select(F.col("node").alias("col"), F.col("deg").alias("dc")), "col")
-    return x.where("dr < dc or (dr = dc and row < col)").select("row", "col")
+
+def _oriented(plain: DataFrame, hubs_first: bool = False) -> DataFrame:
+    """Plain edges with their ends as structs of (degree, node) in ascending order, so hubs come last and make few
+    wedges; hubs_first: by falling degree."""
+    deg = plain.select(F.explode(F.array("row", "col")).alias("node")).groupBy("node").agg((F.count("*") * (-1 if hubs_first else 1)).alias("deg"))
+    end = lambda c: deg.select(F.col("node").alias(c), F.struct("deg", "node").alias(f"{c}_end"))
+    x = plain.join(end("row"), "row").join(end("col"), "col")
+    return checkpointed(x.select(F.least("row_end", "col_end").alias("row"), F.greatest("row_end", "col_end").alias("col")))
+
+
+def _wedges(up: DataFrame) -> DataFrame:
+    """Pairs y < z of oriented edges x -> y, x -> z."""
+    a, b = up.alias("a"), up.alias("b")
+    return a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).select(F.col("a.row").alias("x"), F.col("a.col").alias("y"), F.col("b.col").alias("z"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """The triangles of an undirected graph, one row each, as wedges closed by an edge."""
-    e = _oriented(edges)
-    a, b, c = e.alias("a"), e.alias("b"), e.alias("c")
-    wedge = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).select(F.col("a.row").alias("x"), F.col("a.col").alias("y"), F.col("b.col").alias("z"))
-    closing = c.select(F.least("row", "col").alias("y"), F.greatest("row", "col").alias("z"))
-    return wedge.join(closing, ["y", "z"]).select("x", "y", "z")
+    """The triangles of an undirected graph, one row each, as wedges closed by an edge; x has the lowest degree."""
+    up = _oriented(_plain(edges))
+    closed = _wedges(up).join(up.select(F.col("row").alias("y"), F.col("col").alias("z")), ["y", "z"])
+    return closed.select(*(F.col(f"{c}.node").alias(c) for c in "xyz"))
 
 
 def count_triangles(edges: DataFrame) -> DataFrame:
@@ -87,40 +167,42 @@ def count_triangles(edges: DataFrame) -> DataFrame:
 
 def count_triangles_parity(edges: DataFrame) -> DataFrame:
     """By parity: an edge counts 1, a wedge over it 2, so odd cells are edges and (v - 1) / 2 their triangles."""
-    up = core.triangle(undirected(edges.select("row", "col", F.lit(1).cast("long").alias("val"))), "upper")
-    a, b = up.alias("a"), up.alias("b")
-    wedge = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).select(F.col("a.col").alias("row"), F.col("b.col").alias("col"), F.lit(2).cast("long").alias("val"))
-    cells = core.combine(up.unionByName(wedge))
+    up = _oriented(_plain(edges))
+    wedge = _wedges(up).select(F.col("y").alias("row"), F.col("z").alias("col"), F.lit(2).cast("long").alias("val"))
+    cells = core.combine(up.withColumn("val", F.lit(1).cast("long")).unionByName(wedge))
     return cells.where("val % 2 = 1").agg(F.coalesce(F.sum(F.expr("(val - 1) div 2")), F.lit(0)).alias("triangles"))
 
 
 def count_triangles_by_edges(edges: DataFrame) -> DataFrame:
-    """Adjacency joined to edges: a node and an edge that meet twice below the edge make a triangle."""
-    up = core.triangle(undirected(edges.select("row", "col", F.lit(1).cast("long").alias("val"))), "upper").select("row", "col")
+    """Adjacency joined to edges: a node and an edge that meet twice below the edge make a triangle. Hubs come first, so
+    few nodes stand below the ends of an edge."""
+    up = _oriented(_plain(edges), hubs_first=True)
     ends = up.select(F.explode(F.array("row", "col")).alias("k"), F.col("row").alias("u"), F.col("col").alias("v"))
     met = up.select(F.col("col").alias("k"), F.col("row").alias("c")).join(ends, "k").where("c < u").groupBy("c", "u", "v").count()
     return met.where("count = 2").agg(F.count("*").alias("triangles"))
 
 
-def k_truss(edges: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
-    """Both directions of the edges that lie in k - 2 triangles or more of what remains.
+def k_truss(edges: DataFrame, k: int, rounds: int | None = None, only: str | None = None) -> DataFrame:
+    """Both directions of the edges that lie in k - 2 triangles or more of what remains; only: a range string that both
+    ends must be in. The edges' triangles are enumerated from their ends of lowest degree, so hubs make few wedges.
 
     Goes on until nothing changes; where that takes more than ``rounds``, if given, it raises."""
-    left = checkpointed(core.triangle(undirected(edges.select("row", "col", F.lit(1).cast("long").alias("val"))), "upper").select("row", "col"))
+    left = _plain(core.select_range(core.select_range(edges, only), only, "col"))
     if k > 2:
+        left = checkpointed(left)
         size, done = left.count(), 0
         while True:
             if done == rounds:
                 raise RuntimeError(f"the {k}-truss has not settled within {rounds} rounds")
             done += 1
-            both = left.unionByName(left.select(F.col("col").alias("row"), F.col("row").alias("col")))
-            a, b = both.alias("a"), both.alias("b")
-            support = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).groupBy(F.col("a.col").alias("row"), F.col("b.col").alias("col")).count().where(F.col("count") >= k - 2)
+            side = lambda a, b: F.struct(F.least(a, b).alias("row"), F.greatest(a, b).alias("col"))
+            sides = triangles(left).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("e"))
+            support = sides.groupBy("e.row", "e.col").count().where(F.col("count") >= k - 2)
             left = checkpointed(left.join(support, ["row", "col"], "left_semi"))
             size, before = left.count(), size
             if size == before:
                 break
-    return left.unionByName(left.select(F.col("col").alias("row"), F.col("row").alias("col"))).withColumn("val", F.lit(1).cast("long"))
+    return left.unionByName(core.transpose(left.withColumn("val", F.lit(1))).select("row", "col")).withColumn("val", F.lit(1).cast("long"))
 
 
 def k_truss_incidence(incidence: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
@@ -130,9 +212,11 @@ def k_truss_incidence(incidence: DataFrame, k: int, rounds: int | None = None) -
     return incidence.join(pairs.join(kept.where("row < col"), ["row", "col"], "left_semi").select("edge"), "edge", "left_semi")
 
 
-def jaccard(edges: DataFrame) -> DataFrame:
-    """Jaccard coefficients of the neighbourhoods of node pairs row < col that share a neighbour."""
-    both = core.triangle(undirected(edges.select("row", "col", F.lit(1).cast("long").alias("val"))), "no_diagonal").select("row", "col")
+def jaccard(edges: DataFrame, only: str | None = None) -> DataFrame:
+    """Jaccard coefficients of the neighbourhoods of node pairs row < col that share a neighbour; only: a range string
+    that both ends of an edge must be in. The result has a row for each pair, so its size bounds the work from below."""
+    plain = _plain(core.select_range(core.select_range(edges, only), only, "col"))
+    both = checkpointed(plain.unionByName(plain.select(F.col("col").alias("row"), F.col("row").alias("col"))))
     deg = both.groupBy("row").agg(F.count("*").alias("deg"))
     a, b = both.alias("a"), both.alias("b")
     common = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).groupBy(F.col("a.col").alias("row"), F.col("b.col").alias("col")).agg(F.count("*").alias("n"))
@@ -163,33 +247,83 @@ def line_graph(edges: DataFrame, directed: bool = True, extra_cycles: bool = Fal
     return core.combine(steps.join(per, "m").select("row", "col", F.col("weight").alias("val")))
 
 
-def reachability(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Pairs (row, col) with a path of one edge or more, by squaring what is known."""
+def reachability(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Pairs (row, col) with a path of one edge or more, by squaring what is known until nothing is new."""
     known = checkpointed(edges.select("row", "col").distinct())
-    size = known.count()
-    for _ in range(rounds):
+    size, done = known.count(), 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"paths are still being found after {rounds} rounds")
+        done += 1
         a, b = known.alias("a"), known.alias("b")
         step = a.join(b, F.col("a.col") == F.col("b.row")).select(F.col("a.row").alias("row"), F.col("b.col").alias("col"))
         known = checkpointed(known.unionByName(step).distinct())
         size, before = known.count(), size
         if size == before:
-            break
-    return known
+            return known
+
+
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes that a path of one edge or more leads to from a start node; every node is walked from once."""
+    found = front = checkpointed(edges.join(start.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("col").alias("node")).distinct())
+    while not front.isEmpty():
+        step = edges.join(front.withColumnRenamed("node", "row"), "row", "left_semi").select(F.col("col").alias("node")).distinct()
+        front = checkpointed(step.join(found, "node", "left_anti"))
+        found = checkpointed(found.unionByName(front))
+    return found
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that no edge leads to, or from, again and again."""
+    size = edges.count()
+    while True:
+        inner = edges.join(edges.select(F.col("col").alias("row")).distinct(), "row", "left_semi")
+        edges = checkpointed(inner.join(inner.select(F.col("row").alias("col")).distinct(), "col", "left_semi").select("row", "col"))
+        size, before = edges.count(), size
+        if size == before:
+            return edges
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """node and component, named by its smallest node, of the nodes on cycles.
+
+    By colours: after trimming, every node takes the smallest node that reaches it; inside a colour the nodes that reach
+    the one it is named after are its component. They leave, and the rest goes on. Work is in edges, not in paths."""
+    left, found = _trimmed(checkpointed(edges.select("row", "col").distinct())), None
+    while not left.isEmpty():
+        colours = checkpointed(left.select(F.explode(F.array("row", "col")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            offered = left.join(colours.withColumnRenamed("node", "row"), "row").groupBy(F.col("col").alias("node")).agg(F.min("colour").alias("offer"))
+            new = checkpointed(colours.join(offered, "node", "left").select("node", "colour", "offer"))
+            colours = new.select("node", F.least("colour", F.coalesce("offer", "colour")).alias("colour"))
+            if new.where("offer < colour").isEmpty():
+                break
+        of = colours.select(F.col("node").alias("row"), "colour").join(left, "row")
+        inside = checkpointed(of.join(colours.select(F.col("node").alias("col"), F.col("colour").alias("c2")), "col").where("colour = c2").select(F.col("col").alias("row"), F.col("row").alias("col"), "colour"))
+        roots = inside.where("row = colour").select(F.col("row").alias("node")).distinct()
+        component = checkpointed(colours.join(reach(inside.select("row", "col"), roots), "node", "left_semi").withColumnRenamed("colour", "component"))
+        done = component.select("node").unionByName(colours.where("node = colour").select("node")).distinct()
+        found = component if found is None else found.unionByName(component)
+        gone = lambda c, done=done: done.withColumnRenamed("node", c)
+        left = _trimmed(left.join(gone("row"), "row", "left_anti").join(gone("col"), "col", "left_anti").select("row", "col"))
+    return found if found is not None else edges.select(F.col("row").alias("node"), F.col("row").alias("component")).limit(0)
 
 
 def scc_pairs(edges: DataFrame) -> DataFrame:
     """Pairs of nodes that reach each other; nodes on no cycle are in none."""
-    known = reachability(edges)
-    return known.join(known.select(F.col("col").alias("row"), F.col("row").alias("col")), ["row", "col"], "left_semi")
+    found = scc(edges)
+    return found.select(F.col("node").alias("row"), "component").join(found.select(F.col("node").alias("col"), "component"), "component").select("row", "col")
 
 
-def scc(edges: DataFrame) -> DataFrame:
-    """node and component, named by its smallest node."""
-    return scc_pairs(edges).groupBy(F.col("row").alias("node")).agg(F.min("col").alias("component"))
+def scc_of(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """The nodes of one node's component: what it reaches and is reached from; none if it is on no cycle."""
+    back = edges.select(F.col("col").alias("row"), F.col("row").alias("col"))
+    return reach(edges, start).join(reach(back, start), "node", "left_semi")
 
 
 def tfidf(counts: DataFrame, n_docs: int | None = None) -> DataFrame:
     """count / words of the document * ln(1 + N / (1 + documents with the word)) for (row=document, col=word, val)."""
+    counts = checkpointed(counts.select("row", "col", "val"))
     totals = counts.groupBy("row").agg(F.sum("val").alias("total"))
     spread = counts.groupBy("col").agg(F.count("*").alias("df"))
     n = totals.agg(F.count("*").alias("n_docs")).scalar() if n_docs is None else F.lit(n_docs)

@@ -11,7 +11,7 @@ from tessera.functions.semiring import fold
 
 def running_combine(stream: DataFrame, plus: str = "plus") -> DataFrame:
     """Each key with the fold of all its entries so far (update or complete mode)."""
-    return stream.groupBy("row", "col").agg(fold(plus)(F.col("val")).alias("val"))
+    return stream.groupBy("row", "col").agg(fold(plus, stream.schema["val"].dataType)(F.col("val")).alias("val"))
 
 
 def windowed(stream: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

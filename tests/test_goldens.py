@@ -1,6 +1,7 @@
 """Small results known by hand."""
 
 import inspect
+import random
 
 import pytest
 
@@ -17,6 +18,10 @@ def got(df):
     return {(r.row, r.col): round(r.val, 4) if isinstance(r.val, float) else r.val for r in df.collect()}
 
 
+def nodes(df):
+    return {r.node for r in df.collect()}
+
+
 G5 = [("v1", "v2"), ("v1", "v3"), ("v1", "v4"), ("v2", "v3"), ("v3", "v4"), ("v2", "v5")]
 
 
@@ -56,7 +61,7 @@ def test_k_truss(make):
     e = make([(a, b, 1) for a, b in G5])
     assert graph.k_truss(e, 3).count() == 10 and graph.k_truss(e, 2).count() == 12
     more = make([(a, b, 1) for a, b in [*G5, ("v2", "v4")]])
-    assert graph.k_truss(more, 4).count() == 12
+    assert graph.k_truss(more, 4).count() == 12 and graph.k_truss(more, 4, only="v1,:,v4,").count() == 12
     assert graph.k_truss_incidence(io.incidence(e).select("edge", "node"), 3).count() == 10
 
 
@@ -78,13 +83,46 @@ def test_tfidf(make):
 def test_bfs(make, spark):
     e = make([("v0", "v1", 5), ("v1", "v2", 2), ("v2", "v0", 4), ("v0", "vBig", 7), ("v1", "vBig", 7), ("v2", "vBig", 7), ("vBig", "v0", 9), ("vBig", "v1", 9), ("vBig", "v2", 9)])
     start = spark.createDataFrame([("v0",)], "node string")
-    walked, reached = graph.bfs(e, start, 3, 1, 2)
-    assert {r.node for r in reached.collect()} == {"v0", "vBig"} and len(got(walked)) == 6
+    deg = spark.createDataFrame([("v0", 2), ("v1", 2), ("v2", 2), ("vBig", 3)], "node string, deg long")
+    for degrees in (None, deg):
+        walk = graph.bfs(e, start, 3, 1, 2, degrees=degrees)
+        assert nodes(walk.reached) == {"v0", "vBig"} and got(walk.walked) == {(a, b): v for (a, b), v in got(e).items() if a != "vBig"}
+    assert nodes(graph.bfs(e, "v0,", 3, 1, 2).reached) == {"v0", "vBig"} and nodes(graph.bfs(e, "v0,:,v1,", 1).reached) == {"v1", "v2", "vBig"}
+    assert got(graph.bfs(e, None, 1).walked) == got(e) and got(graph.bfs(e, None, 2).walked) == {k: 2 * v for k, v in got(e).items()}
+    assert graph.bfs(e, start, 0).walked.count() == 0 and graph.bfs(e, start, 0).reached.count() == 0
+    line = make([("a", "b", 1), ("b", "c", 1)])
+    ended = graph.bfs(line, "a,", 9)
+    assert ended.reached.count() == 0 and len(got(ended.walked)) == 2 and nodes(graph.bfs(line, "a,", 9, union=True).reached) == {"b", "c"}
     assert {r.node for r in graph.bfs(e, start, 3, 1, 2, True)[1].collect()} == {"v0", "v1", "v2", "vBig"}
+
+
+def test_bfs_incidence(make, spark):
+    e = [("v0", "v1", 5), ("v1", "v2", 2), ("v2", "v0", 4), ("v0", "vBig", 7), ("v1", "vBig", 7), ("v2", "vBig", 7), ("vBig", "v0", 9), ("vBig", "v1", 9), ("vBig", "v2", 9)]
+    rows = [x for k, (a, b, v) in enumerate(e) for x in ((f"e{k}", "out", a, v), (f"e{k}", "in", b, v))]
+    table = make(rows, "edge string, role string, node string, val long")
+    deg = spark.createDataFrame([("v0", 2), ("v1", 2), ("v2", 2), ("vBig", 3)], "node string, deg long")
+    walk = graph.bfs_incidence(table, "v0,", 3, low=1, high=2, degrees=deg, visibility="a")
+    assert walk.steps.count() == 12 and nodes(walk.reached) == {"v0", "vBig"} and walk.walked.select("vis").distinct().first().vis == "a"
+    assert {(r.edge, r.role, r.node): r.val for r in walk.walked.collect()} == {x[:3]: x[3] for x in rows if x[0] in {f"e{k}" for k in range(6)}}
+    assert nodes(graph.bfs_incidence(table, "v0,", 3, low=1, high=2, degrees=deg, union=True).reached) == {"v0", "v1", "v2", "vBig"}
+    with pytest.raises(ValueError):
+        graph.bfs_incidence(table, "v0,", 3, low=1, high=2)
+    multi = make([*rows, ("e1", "HEYHEY", "v0", 3)], "edge string, role string, node string, val long")
+    two = {(r.edge, r.role, r.node): r.val for r in graph.bfs_incidence(multi, "v1,", 1, ends=("in", "HEYHEY")).walked.collect()}
+    assert two["e1", "out", "v1"] == 4 and two["e1", "HEYHEY", "v0"] == 3
+
+
+def test_bfs_single_table(make, spark):
     both = make([("v0", "v1", 5), ("v1", "v0", 5), ("v1", "v2", 2), ("v2", "v1", 2), ("v0", "vBig", 6), ("vBig", "v0", 6), ("v1", "vBig", 7), ("vBig", "v1", 7), ("v2", "vBig", 8), ("vBig", "v2", 8), ("v9", "vBig", 9), ("vBig", "v9", 9)])
-    walked, reached = graph.bfs_single_table(both, start, 3, 1, 3)
-    x = got(walked)
-    assert {r.node for r in reached.collect()} >= {"v1", "vBig"} and x["v1", "vBig"] == 7 and x["vBig", "v2"] == 8
+    deg = spark.createDataFrame([("v0", 2), ("v1", 3), ("v2", 2), ("v9", 1), ("vBig", 4)], "node string, deg long")
+    for degrees in (None, deg):
+        walk = graph.bfs_single_table(both, "v0,", 3, 1, 3, degrees=degrees, copy_degrees=True, in_degrees="count")
+        assert nodes(walk.reached) == {"v1", "vBig"} and walk.steps.count() == 18
+        one_way = {("v0", "v1"): 15, ("v1", "v2"): 4, ("v0", "vBig"): 12, ("v1", "vBig"): 7, ("v2", "vBig"): 8}
+        assert got(walk.walked) == one_way | {(b, a): v for (a, b), v in one_way.items()}
+        assert {r.node: r.deg for r in walk.degrees.collect()} == {"v0": 4, "v1": 3, "v2": 2, "vBig": 3}  # v0 is copied twice
+    summed = graph.bfs_single_table(both, "v0,", 3, 1, 3, in_degrees="sum", union=True)
+    assert {r.node: r.deg for r in summed.degrees.collect()} == {"vBig": 27} and nodes(summed.reached) == {"v0", "v1", "v2", "vBig"}
 
 
 def test_line_graph_and_scc(make):
@@ -92,8 +130,43 @@ def test_line_graph_and_scc(make):
     assert got(graph.line_graph(e)) == {("a|b", "b|c"): 2.0}
     both = graph.undirected(e)
     assert got(graph.line_graph(both, False))["a|b", "b|c"] == 3.0
-    e = make([(a, b, 1) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"), ("vBig", "v0"))])
-    assert graph.scc_pairs(e).count() == 9 and {r.component for r in graph.scc(e).collect()} == {"v0"}
+    e = make([(a, b, 1) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"), ("vBig", "v0"), ("vBig", "v1"), ("vBig", "v2"))])
+    assert {(r.row, r.col) for r in graph.scc_pairs(e).collect()} == {(a, b) for a in ("v0", "v1", "v2") for b in ("v0", "v1", "v2")}
+    assert {r.component for r in graph.scc(e).collect()} == {"v0"}
+    for start, found in (("v0", {"v0", "v1", "v2"}), ("vBig", set())):
+        assert nodes(graph.scc_of(e, make([(start,)], "node string"))) == found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scc_and_truss_on_random_graphs(make, seed):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(rng.choice((20, 40, 70)))}
+    e = make([(a, b, 1) for a, b in pairs], "row long, col long, val long")
+    reach = {a: {a2 for a2, _ in ()} for a in range(25)}
+    for a in range(25):
+        todo = [a]
+        while todo:
+            for x, y in pairs:
+                if x == todo[-1] and y not in reach[a]:
+                    reach[a].add(y)
+                    todo.insert(0, y)
+            todo.pop()
+    expected = {(a, min(b for b in reach[a] if a in reach[b])) for a in range(25) if a in reach[a]}
+    assert {(r.node, r.component) for r in graph.scc(e).collect()} == expected
+    plain = {(min(p), max(p)) for p in pairs if p[0] != p[1]} | {(a, b) for a in range(5) for b in range(a + 1, 6)}
+    near = lambda left, x: {b if a == x else a for a, b in left if x in (a, b)}
+    left = plain
+    while True:
+        kept = {(a, b) for a, b in left if len(near(left, a) & near(left, b)) >= 2}
+        if kept == left:
+            break
+        left = kept
+    truss = graph.k_truss(make([(a, b, 1) for a, b in plain], "row long, col long, val long"), 4)
+    assert {(r.row, r.col) for r in truss.collect()} == {p for a, b in left for p in ((a, b), (b, a))}
+    e = make([(b, a, 1) for a, b in plain], "row long, col long, val long")
+    count = sum(len(near(plain, a) & near(plain, b)) for a, b in plain) // 3
+    for f in (graph.count_triangles, graph.count_triangles_parity, graph.count_triangles_by_edges):
+        assert f(e).first().triangles == count
 
 
 def test_matrix(make):
@@ -179,5 +252,5 @@ def test_orders_over_many_ranges(spark):
 
 def test_long_walk_is_checkpointed(spark):
     ring = spark.createDataFrame([(k, (k + 1) % 9, 1) for k in range(9)], "row long, col long, val long")
-    walked, reached = graph.bfs(ring, spark.createDataFrame([(0,)], "node long"), 20)
+    walked, reached, *_ = graph.bfs(ring, spark.createDataFrame([(0,)], "node long"), 20)
     assert [r.node for r in reached.collect()] == [20 % 9] and walked.agg({"val": "sum"}).first()[0] == 20
