@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 #: Starts of k-mers in one piece of a sequence.
 PIECE = 128
 
@@ -28,10 +30,44 @@ def kmers(df: DataFrame, k: int = 11, drop_last: bool = False, form: str = "forw
     return x.groupBy("row", "col").agg(F.count("*").alias("val"))
 
 
+def kmer_degrees(counts: DataFrame) -> DataFrame:
+    """node and deg: the k-mers of each sample, repeats included."""
+    return counts.groupBy(F.col("row").alias("node")).agg(F.sum("val").alias("deg"))
+
+
+def pack(kmer: Column) -> Column:
+    """Two bits a letter (A 0, C 1, G 2, T 3) in a long; as many letters as 31, in the order of the text."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+
+
+def unpack(packed: Column, k: int) -> Column:
+    return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def pipe(lines: DataFrame, k: int = 11, mode: str = "forward", binary: bool = False) -> DataFrame:
+    """Lines "k-mer,count" (column value) with the k-mer as it is (forward), its reverse complement (reverse) or the
+    lesser of both (canonical); binary: the k-mer with its length in two bytes before it, then the count in eight."""
+    kmer, rest = F.left("value", F.lit(k)), F.substr("value", F.lit(k + 1))
+    kmer = {"forward": lambda x: x, "reverse": reverse_complement, "canonical": canonical}[mode](kmer)
+    if not binary:
+        return lines.select(F.concat(kmer, rest).alias("value"))
+    count = F.unhex(F.lpad(F.hex(F.substr("value", F.lit(k + 2)).cast("long")), 16, "0"))
+    return lines.select(F.concat(F.unhex(F.lpad(F.hex(F.lit(k)), 4, "0")), F.encode(kmer, "UTF-8"), count).alias("value"))
+
+
+def all_kmers(spark: SparkSession, k: int) -> DataFrame:
+    """Every k-mer with its share of G and C."""
+    kmer = unpack(F.col("id"), k)
+    return spark.range(4**k).select(kmer.alias("row"), F.lit("gc").alias("col"), gc_content(kmer).alias("val"))
+
+
 def generate(df_or_spark, n: int, k: int = 11, seed: int = 7, gc: float = 0.5) -> DataFrame:
-    """n seeded random k-mers whose letters are G or C with probability gc."""
+    """n seeded random k-mers whose letters are G or C with probability gc. A letter is a hash of seed, number and place,
+    so any part of them can be made again from where one left off."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    letter = lambda i: F.when(F.rand(seed * 1000 + 2 * i) < gc, F.when(F.rand(seed * 1000 + 2 * i + 1) < 0.5, "G").otherwise("C")).otherwise(F.when(F.rand(seed * 1000 + 2 * i + 1) < 0.5, "A").otherwise("T"))
+    share = lambda i, what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "id", F.lit(i)), F.lit(1 << 30)) / (1 << 30)
+    half = lambda i: share(i, 2) < 0.5
+    letter = lambda i: F.when(share(i, 1) < gc, F.when(half(i), "G").otherwise("C")).otherwise(F.when(half(i), "A").otherwise("T"))
     return spark.range(n).select(F.col("id").alias("row"), F.concat(*map(letter, range(k))).alias("col"))
 
 
@@ -48,20 +84,43 @@ def _shared(df: DataFrame, value: str = "val") -> DataFrame:
     )
 
 
+#: Pairs of blocks of rows are dealt to tasks; rows of a block, on average.
+BLOCK = 2000
+
+
 def _pairs(df: DataFrame) -> DataFrame:
-    """Every pair of rows once with their sums: the result has one line for each, shared columns or not."""
+    """Every pair of rows once with their sums: the result has one line for each, shared columns or not.
+
+    Rows are dealt by hash to blocks, and each pair of blocks is a group of its own, so no side is held whole."""
+    sums = checkpointed(df.groupBy("row").agg(F.sum("val").alias("s")))
+    blocks = max(1, -(-sums.count() // BLOCK))
+    dealt = sums.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = dealt.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "s")
+    x, y = a.alias("x"), a.alias("y")
+    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.row") < F.col("y.row"))
+    across = (F.col("x.block") != F.col("y.block")) | (F.col("x.i") == F.col("x.j"))
+    return x.join(y, same & across).select(F.col("x.row").alias("row"), F.col("y.row").alias("col"), F.col("x.s").alias("s"), F.col("y.s").alias("t"))
+
+
+def sharing_pairs(df: DataFrame, distance: str = "bray_curtis") -> DataFrame:
+    """bray_curtis() or weighted_jaccard() of the pairs of rows that share a column: all others are at distance 1."""
     sums = df.groupBy("row").agg(F.sum("val").alias("s"))
-    return sums.alias("a").join(sums.alias("b"), F.col("a.row") < F.col("b.row")).select(F.col("a.row").alias("row"), F.col("b.row").alias("col"), F.col("a.s").alias("s"), F.col("b.s").alias("t"))
+    x = _shared(df).join(sums, "row").join(sums.select(F.col("row").alias("col"), F.col("s").alias("t")), "col")
+    both = F.col("s") + F.col("t")
+    return x.select("row", "col", (1 - (2 * F.col("low") / both if distance == "bray_curtis" else F.col("low") / (both - F.col("low")))).alias("val"))
 
 
 def bray_curtis(df: DataFrame) -> DataFrame:
     """1 - 2 sum(min) / (sum + sum) for every pair of rows, 1 for pairs that share nothing."""
+    df = checkpointed(df.select("row", "col", "val"))
     x = _pairs(df).join(_shared(df), ["row", "col"], "left")
     return x.select("row", "col", (1 - 2 * F.coalesce("low", F.lit(0)) / (F.col("s") + F.col("t"))).alias("val"))
 
 
 def weighted_jaccard(df: DataFrame) -> DataFrame:
     """1 - sum(min) / sum(max) for every pair of rows."""
+    df = checkpointed(df.select("row", "col", "val"))
     x = _pairs(df).join(_shared(df), ["row", "col"], "left")
     low = F.coalesce("low", F.lit(0))
     return x.select("row", "col", (1 - low / (F.col("s") + F.col("t") - low)).alias("val"))

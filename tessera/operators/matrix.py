@@ -30,10 +30,36 @@ def inverse(df: DataFrame, labels: list) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"row {kind}, col {kind}, val double")
 
 
-def initial_topics(a: DataFrame, k: int) -> DataFrame:
-    """W0: for each row of A and topic 1..k a number in [0, 1) from a digest of both."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("row").cast("string"), F.col("col").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    return a.select("row").distinct().withColumn("col", F.explode(F.array(*(F.lit(i).cast("long") for i in range(1, k + 1))))).withColumn("val", digest)
+def inverse_newton(df: DataFrame, labels: DataFrame, rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:
+    """The same by Newton-Schulz steps X <- X (2 I - A X) from A' / (norm1 * norminf), as products of tables: for orders
+    beyond the driver's. labels: one column, node. Ends where a step changes nothing by more than the tolerance."""
+    a = checkpointed(df.select("row", "col", F.col("val").cast("double").alias("val")))
+    norm = lambda c: a.groupBy(c).agg(F.sum(F.abs("val")).alias("n")).agg(F.max("n")).first()[0] or 1.0
+    scale = norm("row") * norm("col")
+    two = labels.select(F.col("node").alias("row"), F.col("node").alias("col"), F.lit(2.0).alias("val"))
+    x = checkpointed(core.transpose(a).withColumn("val", F.col("val") / scale))
+    for _ in range(rounds):
+        rest = core.ewise_add(two, _product(a, x), "minus", 0.0)
+        new = checkpointed(_product(x, rest))
+        change = core.ewise_add(new, x, "minus", 0.0).agg(F.max(F.abs("val"))).first()[0] or 0.0
+        x = new
+        if change <= tolerance:
+            break
+    return x
+
+
+def _product(x: DataFrame, y: DataFrame) -> DataFrame:
+    """X Y from X and Y as they are."""
+    return core.mxm(core.transpose(x), y)
+
+
+def initial_topics(a: DataFrame, k: int, kind: str = "uniform") -> DataFrame:
+    """W0: for each row of A and topic 1..k a number from digests of both: uniform in [0, 1), or the absolute value of a
+    normal one (kind "normal")."""
+    key = F.concat_ws("|", F.col("row").cast("string"), F.col("col").cast("string"))
+    part = lambda at: F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("double") / 2.0**32
+    val = part(1) if kind == "uniform" else F.abs(F.sqrt(-2 * F.ln(1 - part(1))) * F.cos(2 * F.lit(np.pi) * part(9)))
+    return a.select("row").distinct().withColumn("col", F.explode(F.array(*(F.lit(i).cast("long") for i in range(1, k + 1))))).withColumn("val", val)
 
 
 def nmf_step(a: DataFrame, w: DataFrame, k: int, cutoff: float = 0.0, most_cols: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,9 +77,10 @@ def nmf_step(a: DataFrame, w: DataFrame, k: int, cutoff: float = 0.0, most_cols:
     return checkpointed(core.transpose(half(core.transpose(h), core.transpose(a)))), h
 
 
-def nmf(a: DataFrame, k: int, rounds: int = 25, cutoff: float = 0.0, most_cols: int | None = None, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame, float]:
+def nmf(a: DataFrame, k: int, rounds: int = 25, cutoff: float = 0.0, most_cols: int | None = None, tolerance: float = 0.01, kind: str = "normal") -> tuple[DataFrame, DataFrame, float]:
     """W, H and the last share of cells in which H changed; ends after three rounds at or below the tolerance."""
-    w, before, calm, change = initial_topics(a, k), None, 0, 1.0
+    a = checkpointed(a)
+    w, before, calm, change = initial_topics(a, k, kind), None, 0, 1.0
     for _ in range(rounds):
         w, h = nmf_step(a, w, k, cutoff, most_cols)
         if before is not None:

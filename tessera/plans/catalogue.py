@@ -122,7 +122,7 @@ for _name, _sql, _f in (
     ("val_to_col", "SELECT r, CAST(v AS VARCHAR) c, CAST(1 AS BIGINT) v FROM sp", core.val_to_col),
     ("transpose", "SELECT c r, r c, v FROM sp", core.transpose),
     ("scalar_divide_long", "SELECT r, c, v // 7 v FROM sp WHERE v >= 7", lambda a: core.apply_scalar(a, "divide", 7)),
-    ("scalar_power", "SELECT r, c, CAST(v * v AS DOUBLE) v FROM sp", lambda a: core.apply_scalar(a, "power", 2)),
+    ("scalar_power", "SELECT r, c, v * v v FROM sp", lambda a: core.apply_scalar(a, "power", 2)),
     ("scalar_set_left", "SELECT r, c, v FROM sp", lambda a: core.apply_scalar(a, "left", 5)),
     ("scalar_max", "SELECT r, c, greatest(v, 40) v FROM sp", lambda a: core.apply_scalar(a, "max", 40)),
 ):
@@ -199,7 +199,17 @@ def _one_round(s, d):
 
 
 query("nmf_one_round", _with("sp", *_NMF) + "SELECT CAST(k AS BIGINT) r, c, round(v, 6) v FROM h")(lambda s, d: _one_round(s, d)[2].select(F.col("row").alias("r"), F.col("col").alias("c"), F.round("val", 6).alias("v")))
-query("nmf_converged", None)(lambda s, d: matrix.nmf(SP(s, d), 2, 8)[1].select(F.col("row").alias("r"), F.col("col").alias("c"), F.round("val", 6).alias("v")))
+_GRAM = "g{0} AS (SELECT sum(CASE WHEN a.k = 1 AND b.k = 1 THEN a.v * b.v END) p, coalesce(sum(CASE WHEN a.k = 1 AND b.k = 2 THEN a.v * b.v END), 0) q, sum(CASE WHEN a.k = 2 AND b.k = 2 THEN a.v * b.v END) s FROM {1} a JOIN {1} b ON a.{2} = b.{2})"
+_SIDE = "y{0} AS (SELECT sp.{3} AS e, coalesce(sum(CASE WHEN k = 1 THEN x.v * sp.v END), 0) y1, coalesce(sum(CASE WHEN k = 2 THEN x.v * sp.v END), 0) y2 FROM sp JOIN {1} x ON sp.{2} = x.{2} GROUP BY 1)"
+_HALF = "{4} AS MATERIALIZED (SELECT * FROM (SELECT 1 k, e AS {3}, (s * y1 - q * y2) / (p * s - q * q) v FROM y{0}, g{0} UNION ALL SELECT 2, e, (p * y2 - q * y1) / (p * s - q * q) FROM y{0}, g{0}) WHERE v > 0)"
+_ALL_ROUNDS, _from = [_NMF[0].replace("w AS", "w0 AS MATERIALIZED", 1)], "w0"
+for _i in range(5):
+    for _tag, _on, _out, _to in ((f"a{_i}", "r", "c", f"h{_i}"), (f"b{_i}", "c", "r", f"w{_i + 1}")):
+        _ALL_ROUNDS += [x.format(_tag, _from, _on, _out, _to) for x in (_GRAM, _SIDE, _HALF)]
+        _from = _to
+query("nmf_converged", _with("sp", *_ALL_ROUNDS[:-3]) + "SELECT CAST(k AS BIGINT) r, c, round(v, 4) v FROM h4")(
+    lambda s, d: matrix.nmf(SP(s, d), 2, 5, tolerance=-1.0, kind="uniform")[1].select(F.col("row").alias("r"), F.col("col").alias("c"), F.round("val", 4).alias("v"))
+)
 query("matrix_inverse", _with("sp", *_NMF[:2]) + "SELECT CAST(r AS BIGINT) r, CAST(c AS BIGINT) c, round(v, 9) v FROM (SELECT 1 r, 1 c, s / (p * s - q * q) v FROM g UNION ALL SELECT 1, 2, -q / (p * s - q * q) FROM g UNION ALL SELECT 2, 1, -q / (p * s - q * q) FROM g UNION ALL SELECT 2, 2, p / (p * s - q * q) FROM g)")(lambda s, d: (lambda w: matrix.inverse(core.mxm(w, w), [1, 2]))(matrix.initial_topics(SP(s, d), 2)).select(F.col("row").alias("r"), F.col("col").alias("c"), F.round("val", 9).alias("v")))
 query("project_rows", _with("sp", *_NMF, "n AS (SELECT sum(CASE WHEN a.k = 1 AND b.k = 1 THEN a.v * b.v END) p, sum(CASE WHEN a.k = 1 AND b.k = 2 THEN a.v * b.v END) q, sum(CASE WHEN a.k = 2 AND b.k = 2 THEN a.v * b.v END) s FROM h a JOIN h b ON a.c = b.c)", "t AS (SELECT c, coalesce(sum(v) FILTER (k = 1), 0) y1, coalesce(sum(v) FILTER (k = 2), 0) y2 FROM h GROUP BY c)") + "SELECT c r, 1 c, round((s * y1 - q * y2) / (p * s - q * q), 9) v FROM t, n UNION ALL SELECT c, 2, round((p * y2 - q * y1) / (p * s - q * q), 9) FROM t, n")(lambda s, d: matrix.project(_one_round(s, d)[2], 2).select(F.col("row").alias("r"), F.col("col").cast("int").alias("c"), F.round("val", 9).alias("v")))
 query("frobenius", _with("s96 s97") + f"SELECT round(sqrt(sum(power(coalesce(a.v, 0) - coalesce(b.v, 0), 2))), 6) norm FROM s96 a FULL JOIN s97 b {_ON}")(lambda s, d: matrix.frobenius(SP(s, d, 1996), SP(s, d, 1997)).select(F.round("norm", 6).alias("norm")))
@@ -224,3 +234,88 @@ matrix_query("schema_degree_tables", _with("sp") + "SELECT r, 'out' c, count(*)
 matrix_query("schema_single_table", _with("nt", "b AS (SELECT r, c, v FROM nt UNION ALL SELECT c, r, v FROM nt)") + "SELECT r || '|' || c r, 'edge' c, v FROM b UNION ALL SELECT CAST(r AS VARCHAR), 'deg', count(*) FROM b GROUP BY r", NT, io.single_table)
 query("melt_rows", "SELECT n_nationkey r, unnest(['n_name', 'n_regionkey']) c, unnest([coalesce(nullif(n_name, ''), 'NULL'), coalesce(CAST(n_regionkey AS VARCHAR), 'NULL')]) v FROM nation")(lambda s, d: io.melt(m.table(s, d, "nation"), "n_nationkey", ["n_name", "n_regionkey"]).toDF("r", "c", "v"))
 query("insert_strings", "SELECT * FROM (VALUES ('a', 'x', '1'), ('b', 'y', '2'), ('c', 'z', '3')) t(r, c, v)")(lambda s, d: io.insert_strings(s, "a,b,c,", "x;y;z;", "1 2 3 ").toDF("r", "c", "v"))
+
+# --- typed scalars, lookups, retained keys
+_BIG = 2**53 + 1
+for _name, _sql, _f in (
+    ("scalar_divide_beyond_doubles", f"SELECT r, c, (v + {_BIG}) // 3 v FROM sp", lambda a: core.apply_scalar(a.withColumn("val", F.col("val") + _BIG), "divide", 3)),
+    ("scalar_divide_decimal", "SELECT r, c, round(v / 7, 2) v FROM sp", lambda a: core.apply_scalar(a.withColumn("val", F.col("val").cast("decimal(12,2)")), "divide", 7).withColumn("val", F.col("val").cast("double"))),
+    ("scalar_set_left_keeps_zeros", "SELECT r, c, v // 30 v FROM sp", lambda a: core.apply_scalar(a.withColumn("val", F.expr("val div 30")), "left", 5)),
+    ("retain_col", "SELECT '' r, c, CAST(sum(v) AS BIGINT) v FROM sp GROUP BY c", lambda a: core.retain(a, ("col",))),
+    ("retain_nothing", "SELECT '' r, '' c, CAST(max(v) AS BIGINT) v FROM sp", lambda a: core.retain(a, (), "max")),
+):
+    matrix_query(_name, _with("sp") + _sql, SP, _f)
+_factor = F.when(F.col("col") % 500 == 3, F.lit(3)).when(F.col("col") % 1000 == 7, F.lit(100_000_007)).otherwise(F.lit(1)).cast("long")
+matrix_query(
+    "combine_times", _with("sp") + "SELECT r, '' c, list_reduce(list(CASE WHEN c % 500 = 3 THEN 3 WHEN c % 1000 = 7 THEN 100000007 ELSE 1 END :: BIGINT), lambda x, y: x * y) v FROM sp GROUP BY r",
+    SP, lambda a: core.combine(a.select("row", F.lit("").alias("col"), _factor.alias("val")), "times"),
+)
+for _name, _where, _f in (
+    ("find_open_above", "r >= 's000003'", lambda a: core.find(a, "s000003,:,end,")),
+    ("find_open_below", "r <= 's000040'", lambda a: core.find(a, ",:,s000040,")),
+    ("find_mixed_list", "starts_with(r, 's00001') OR r BETWEEN 's000003' AND 's000005' OR r = 's000077'", lambda a: core.find(a, "s00001*,s000003,:,s000005,s000077,")),
+    ("find_mixed_cols", "c >= 'p000900' OR starts_with(c, 'p00000') OR c = 'p000123'", lambda a: core.find(a, ":", "p000123,p00000*,p000900,:,")),
+):
+    matrix_query(_name, _with("sp", TEXT) + f"SELECT r, c, v FROM x WHERE {_where}", SPX, _f)
+
+# --- contracts of products and combiners
+_entry = lambda row, col, val: F.struct(row.alias("row"), col.alias("col"), val.alias("val"))
+matrix_query(
+    "multiply_many", _with("s96") + "SELECT r, c, CAST(sum(v) AS BIGINT) v FROM (SELECT x.r r, y.r c, x.v * y.v v FROM s96 x JOIN s96 y ON x.c = y.c UNION ALL SELECT y.r, x.r, x.v + y.v FROM s96 x JOIN s96 y ON x.c = y.c WHERE x.v > 30) GROUP BY 1, 2",
+    lambda s, d: SP(s, d, 1996),
+    lambda a: core.combine(core.multiply_many(core.transpose(a), core.transpose(a), lambda k, i, j, x, y: F.filter(F.array(_entry(i, j, x * y), F.when(x > 30, _entry(j, i, x + y))), lambda e: e.isNotNull()))),
+)
+matrix_query(
+    "row_multiply", _with("s96 s97") + "SELECT coalesce(a.r, b.r) r, coalesce(m, 0) c, coalesce(n, 0) v FROM (SELECT r, max(v) m FROM s96 GROUP BY r) a FULL JOIN (SELECT r, count(*) n FROM s97 GROUP BY r) b ON a.r = b.r",
+    lambda s, d: (SP(s, d, 1996), SP(s, d, 1997)), lambda ab: core.row_multiply(*ab, lambda row, x, y: [(row, max((v for _, v in x), default=0), len(y))]),
+)
+matrix_query(
+    "combine_many", _with("ue", _UE) + "SELECT r, c || '|' || k c, v FROM (SELECT r, c, unnest(['max', 'min']) k, unnest([max(v), min(v)]) v FROM u GROUP BY 1, 2 HAVING count(*) > 1)",
+    _first, lambda a: core.combine_many(a, lambda r, c, v: F.when(F.size(v) > 1, F.array(_entry(r, F.concat(c, F.lit("|max")), F.element_at(v, -1)), _entry(r, F.concat(c, F.lit("|min")), F.element_at(v, 1))))),
+)
+matrix_query(
+    "combining_columns_lossy", _with("ue", _UE) + "SELECT r, c, CAST(CASE c WHEN 'click' THEN CAST(sum(v) FILTER (v % 7 <> 0) AS BIGINT) WHEN 'error' THEN max(v) FILTER (v % 7 <> 0) ELSE min(v) FILTER (v % 7 <> 0) END AS VARCHAR) v FROM u GROUP BY 1, 2",
+    _first, lambda a: core.combining_columns(a.withColumn("val", F.when(F.col("val") % 7 == 0, "bad").otherwise(F.col("val").cast("string"))), {"click": "SUM", "error": "Max", ":": "min"}, lossy=True),
+)
+matrix_query(
+    "splits_skewed", _with("sp", "g AS (SELECT r, count(*) n FROM sp GROUP BY r), q AS (SELECT r, n, sum(n) OVER (ORDER BY r) - 1 u, sum(n) OVER () t FROM g)") + "SELECT CAST((u >= t / 15) AS INTEGER) + CAST((u >= t * 3 / 15) AS INTEGER) + CAST((u >= t * 7 / 15) AS INTEGER) part, max(r) last_row, CAST(sum(n) AS BIGINT) entries FROM q GROUP BY 1",
+    SP, lambda a: core.even_splits(a, 4, exponential=2.0), None,
+)
+matrix_query(
+    "splits_by_wedges", _with("un", "g AS (SELECT r, count(*) n FROM un GROUP BY r), q AS (SELECT r, n * (n - 1) // 2 n, sum(n * (n - 1) // 2) OVER (ORDER BY r) - 1 u, sum(n * (n - 1) // 2) OVER () t FROM g)") + "SELECT CAST((u >= t / 4) AS INTEGER) + CAST((u >= t / 2) AS INTEGER) + CAST((u >= t * 3 / 4) AS INTEGER) part, max(r) last_row, CAST(sum(n) AS BIGINT) wedges FROM q GROUP BY 1",
+    CO, lambda a: core.wedge_splits(core.degrees(graph.undirected(a)), 4), None,
+)
+
+# --- walks from all nodes, ranges, with degrees; components of one node; filtered trusses
+query("bfs_all_nodes", _with("nt", "f1 AS (SELECT DISTINCT c FROM nt)") + "SELECT r, c, CAST(sum(v) AS BIGINT) v FROM (SELECT r, c, v FROM nt UNION ALL SELECT r, c, v FROM nt WHERE r IN (SELECT c FROM f1)) GROUP BY 1, 2")(lambda s, d: _walk(graph.bfs(NT(s, d), None, 2).walked))
+_XN = "x AS (SELECT format('n{:03d}', r) r, format('n{:03d}', c) c, v FROM ns)"
+_named = lambda df: df.select(F.format_string("n%03d", "row").alias("row"), F.format_string("n%03d", "col").alias("col"), "val")
+query("bfs_range_start", _with("ns", _XN, "f1 AS (SELECT DISTINCT c FROM x WHERE r BETWEEN 'n002' AND 'n004' OR r >= 'n020')") + "SELECT c node FROM f1 UNION SELECT c FROM x WHERE r IN (SELECT c FROM f1)")(
+    lambda s, d: graph.bfs(_named(NS(s, d)), "n002,:,n004,n020,:,", 2, union=True).reached
+)
+query(
+    "bfs_incidence_by_degree",
+    _with("ns", "g AS (SELECT r FROM ns GROUP BY r HAVING count(*) BETWEEN 1 AND 14)", "f1 AS (SELECT DISTINCT c FROM ns WHERE r IN (SELECT r FROM g))", "w AS (SELECT r, c, v FROM ns WHERE r IN (SELECT r FROM g) UNION ALL SELECT r, c, v FROM ns WHERE r IN (SELECT c FROM f1) AND r IN (SELECT r FROM g))")
+    + "SELECT r || '|' || c AS edge, role, node, CAST(sum(v) AS BIGINT) val FROM (SELECT r, c, 'out' AS role, r AS node, v FROM w UNION ALL SELECT r, c, 'in', c, v FROM w) GROUP BY r, c, role, node",
+)(lambda s, d: graph.bfs_incidence(io.incidence(NS(s, d)), None, 2, low=1, high=14, degrees=core.degrees(NS(s, d))).walked)
+query(
+    "bfs_single_table_degrees",
+    _with("un", _F1, "g AS (SELECT r, count(*) n FROM un GROUP BY r)", "s1 AS (SELECT r, c FROM un WHERE r = 5)", "s2 AS (SELECT r, c FROM un WHERE r IN (SELECT c FROM f1))")
+    + "SELECT r node, CAST(sum(n) AS BIGINT) deg FROM (SELECT 5 AS x UNION ALL SELECT c FROM f1) JOIN g ON g.r = x GROUP BY 1 UNION ALL SELECT c, count(DISTINCT r) FROM (SELECT c, r FROM s1 WHERE c <> 5 UNION SELECT c, r FROM s2 WHERE c NOT IN (SELECT c FROM f1)) WHERE c <> 5 AND c NOT IN (SELECT c FROM f1) GROUP BY 1",
+)(lambda s, d: graph.bfs_single_table(graph.undirected(CO(s, d)), _node(s, 5), 2, copy_degrees=True, in_degrees="count").degrees)
+query("scc_of_node", _REACH + "SELECT c node FROM s WHERE r = 7")(lambda s, d: graph.scc_of(NS(s, d), _node(s, 7, NS(s, d).schema["row"].dataType.simpleString())))
+query(
+    "jaccard_filtered",
+    _with("nt", _XN.replace("FROM ns", "FROM nt"), "f AS (SELECT DISTINCT least(r, c) a, greatest(r, c) b FROM x WHERE r <> c AND r <= 'n011' AND c <= 'n011')", "u AS (SELECT a r, b c FROM f UNION ALL SELECT b, a FROM f)", "g AS (SELECT r, count(*) n FROM u GROUP BY r)", "p AS (SELECT a.c r, b.c c, count(*) k FROM u a JOIN u b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2)")
+    + "SELECT p.r, p.c, round(k / (x.n + y.n - k), 9) v FROM p JOIN g x ON p.r = x.r JOIN g y ON p.c = y.r",
+)(lambda s, d: _walk(_round9(graph.jaccard(_named(NT(s, d)), ":,n011,"))))
+
+# --- k-mers, pairs that share, rows by number
+matrix_query("kmer_degrees", f"WITH {_DNAS} SELECT r node, count(*) deg FROM k GROUP BY 1", _DNA, lambda a: bio.kmer_degrees(bio.kmers(a, 5)), None)
+matrix_query("kmers_packed", f"WITH {_DNAS}, q AS (SELECT r, translate(c, 'ACGT', '0123') c FROM k) SELECT r, CAST(substr(c, 1, 1) AS BIGINT) * 256 + CAST(substr(c, 2, 1) AS BIGINT) * 64 + CAST(substr(c, 3, 1) AS BIGINT) * 16 + CAST(substr(c, 4, 1) AS BIGINT) * 4 + CAST(substr(c, 5, 1) AS BIGINT) c, count(*) v FROM q GROUP BY 1, 2", _DNA, lambda a: bio.kmers(a, 5).withColumn("col", bio.pack(F.col("col"))))
+_LETTERS = "(SELECT unnest(['A', 'C', 'G', 'T']) {0})"
+query("all_kmers_gc", "SELECT x || y || z r, 'gc' c, (CAST(x IN ('C', 'G') AS INTEGER) + CAST(y IN ('C', 'G') AS INTEGER) + CAST(z IN ('C', 'G') AS INTEGER)) / 3 v FROM " + ", ".join(map(_LETTERS.format, "xyz")))(lambda s, d: _walk(bio.all_kmers(s, 3)))
+matrix_query("braycurtis_sharing", _with("sp", "t AS (SELECT r, sum(v) s FROM sp GROUP BY r)", "l AS (SELECT a.r r, b.r c, sum(least(a.v, b.v)) k FROM sp a JOIN sp b ON a.c = b.c AND a.r < b.r GROUP BY 1, 2)") + "SELECT l.r, l.c, round(1 - 2 * k / (x.s + y.s), 9) v FROM l JOIN t x ON x.r = l.r JOIN t y ON y.r = l.c", SP, lambda a: _round9(bio.sharing_pairs(a)))
+query("melt_numbered", "SELECT row_number() OVER (ORDER BY n_nationkey) r, unnest(['n_nationkey', 'n_name']) c, unnest([CAST(n_nationkey AS VARCHAR), n_name]) v FROM nation")(lambda s, d: io.melt(m.table(s, d, "nation"), None, ["n_nationkey", "n_name"]).toDF("r", "c", "v"))
+query("insert_integers", "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 5::BIGINT), (2, 9, 7)) t(r, c, v)")(lambda s, d: _walk(io.insert_strings(s, "1,2,4,", "2;9;3;", "5 7 8 ", integers=True)))
+matrix_query("incidence_first_edges", _with("nt") + "SELECT r || '|' || c AS edge, unnest(['out', 'in']) AS role, unnest([r, c]) AS node, v val FROM (SELECT * FROM nt ORDER BY r, c LIMIT 25)", NT, lambda a: io.incidence(a, 25), None)
