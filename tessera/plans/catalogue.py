@@ -245,10 +245,10 @@ for _name, _sql, _f in (
     ("retain_nothing", "SELECT '' r, '' c, CAST(max(v) AS BIGINT) v FROM sp", lambda a: core.retain(a, (), "max")),
 ):
     matrix_query(_name, _with("sp") + _sql, SP, _f)
-_factor = F.when(F.col("col") % 500 == 3, F.lit(3)).when(F.col("col") % 1000 == 7, F.lit(100_000_007)).otherwise(F.lit(1)).cast("long")
+_factor = lambda: F.when(F.col("col") % 500 == 3, F.lit(3)).when(F.col("col") % 1000 == 7, F.lit(100_000_007)).otherwise(F.lit(1)).cast("long")
 matrix_query(
     "combine_times", _with("sp") + "SELECT r, '' c, list_reduce(list(CASE WHEN c % 500 = 3 THEN 3 WHEN c % 1000 = 7 THEN 100000007 ELSE 1 END :: BIGINT), lambda x, y: x * y) v FROM sp GROUP BY r",
-    SP, lambda a: core.combine(a.select("row", F.lit("").alias("col"), _factor.alias("val")), "times"),
+    SP, lambda a: core.combine(a.select("row", F.lit("").alias("col"), _factor().alias("val")), "times"),
 )
 for _name, _where, _f in (
     ("find_open_above", "r >= 's000003'", lambda a: core.find(a, "s000003,:,end,")),
