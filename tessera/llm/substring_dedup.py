@@ -6,11 +6,13 @@ corpus once, so what continues a match inside a block is unique and the longest
 
 1. Anchors. Every text is cut into *phrases*: runs of windows whose least ``gram``-word hash, the anchor, is the same
    occurrence. Equal windows have equal anchors, so all occurrences of a window meet under its anchor, and a document
-   is parsed only against blocks that can hold a match. Anchors of one document only are done with.
-2. Index. Each distinct phrase is kept once, with its first occurrence (a grouped minimum with map-side combine, so a
-   hot phrase is spread). Under an anchor with one phrase that settles all its windows. Phrases under *crowded* anchors
-   are opened, each once, at their first occurrence: their windows are indexed one by one, and a phrase learns which of
-   its windows occur first elsewhere. All other holders of the phrase take that over.
+   is parsed only against blocks that can hold a match. Some ``CHUNK`` phrases on average, up to one that its own hash
+   picks, are a *chunk*: copied passages are mostly equal chunks, and each distinct chunk is looked into only once.
+2. Index. Each distinct chunk, then each distinct phrase, is kept once, with its first occurrence (grouped minima with
+   map-side combine, so hot ones are spread). Anchors of one document only are done with. Under an anchor with one
+   phrase that settles all its windows. Phrases under *crowded* anchors are opened, each once, at their first
+   occurrence: their windows are indexed one by one, and a phrase learns which of its windows occur first elsewhere. A
+   chunk takes over what its phrases know, and all its holders what the chunk knows.
 3. Factors. A document walks over its windows; from the first one that occurs first in a smaller document it takes the
    longest factor: as long as the next window is the next one of the same reference block (a window that equals the one
    before it, in a run of one word, stays on its place). A factor of k windows is k + window - 1 words; shorter matches
@@ -41,11 +43,13 @@ from pyspark.sql.types import StructField, StructType
 from .common import Rolling, durable, in_batches, release, text_keys, words_of
 
 WINDOW, GRAM = 50, 16
+#: Phrases of a chunk, on average and at most.
+CHUNK, LONGEST = 8, 64
 #: Odd bases of the rolling hashes: of anchors, and of the two halves of fingerprints.
 BASES = 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Texts that are looked at together.
 BATCH = 256
-DOC, PHRASE = ["doc_id", "k1", "k2"], ["fp1", "fp2"]
+DOC, NAME, PHRASE = ["doc_id", "k1", "k2"], ["c1", "c2"], ["fp1", "fp2"]
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,27 +83,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), *text_keys("text"), "text")
 
 
-def phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row for each phrase of each text with a doc_id."""
+def chunks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row for each chunk of each text with a doc_id: a fingerprint, its first window, and its phrases (off: windows
+    from the chunk's first one)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(b) for b in BASES]
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 some = batch.slice(lo, BATCH)
-                parts, rows = [], []
+                found, rows, names, firsts, sizes = [], [], [], [], []
                 for k, text in enumerate(some["text"]):
                     words = words_of(text.as_py())
-                    if len(words) >= window:
-                        parts.append(cut(_hashes(words), window, gram, rolls))
-                        rows.append(k)
-                if parts:
-                    of = pa.array(np.repeat(rows, [len(p[0]) for p in parts]))
-                    a, f, g, first, count, repeats = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    ints = (pa.array(x.astype(np.int32)) for x in (first, count, repeats))
-                    yield pa.record_batch([*(some[c].take(of) for c in DOC), _signed(a), _signed(f), _signed(g), *ints], [*DOC, "anchor", *PHRASE, "first", "windows", "repeats"])
-
-    return in_batches(_keyed(docs), parse, "doc_id long, k1 long, k2 long, anchor long, fp1 long, fp2 long, first int, windows int, repeats int")
+                    if len(words) < window:
+                        continue
+                    a, f, g, first, count, repeats = cut(_hashes(words), window, gram, rolls)
+                    ends = np.flatnonzero(f % np.uint64(CHUNK) == 0) + 1
+                    starts = np.unique(np.append(0, ends[ends < len(f)]))
+                    starts = np.concatenate([np.arange(s, e, LONGEST) for s, e in zip(starts, np.append(starts[1:], len(f)), strict=True)])
+                    size = np.diff(starts, append=len(f))
+                    packed = np.stack([f, g, count.astype(np.uint64), repeats.astype(np.uint64)], 1)
+                    names.append(b"".join(xxhash.xxh3_128_digest(packed[s:e].tobytes()) for s, e in zip(starts, starts + size, strict=True)))
+                    found.append((a, f, g, first - np.repeat(first[starts], size), count, repeats))
+                    rows += [k] * len(starts)
+                    firsts.append(first[starts])
+                    sizes.append(size)
+                if found:
+                    a, f, g, off, count, repeats = (np.concatenate(x) for x in zip(*found, strict=True))
+                    ints = [pa.array(x.astype(np.int32)) for x in (off, count, repeats)]
+                    parts = pa.StructArray.from_arrays([_signed(a), _signed(f), _signed(g), *ints], ["anchor", *PHRASE, "off", "windows", "repeats"])
+                    parts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)), parts)
+                    halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                    yield pa.record_batch([*(some[c].take(pa.array(rows)) for c in DOC), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(np.concatenate(firsts).astype(np.int32)), parts], [*DOC, *NAME, "first", "parts"])
+
+    return in_batches(_keyed(docs), parse, "doc_id long, k1 long, k2 long, c1 long, c2 long, first int, parts array<struct<anchor:long,fp1:long,fp2:long,off:int,windows:int,repeats:int>>")
 
 
 def _opened(lists: DataFrame, window: int) -> DataFrame:
@@ -121,24 +138,27 @@ def _opened(lists: DataFrame, window: int) -> DataFrame:
 
 
 def references(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, k1, k2 and ``held``: the text's phrases that occur first, or of which windows occur first, elsewhere.
+    """doc_id, k1, k2 and ``held``: the text's chunks that have phrases that occur first, or of which windows occur first,
+    elsewhere.
 
-    held: first, windows, repeats (where the phrase stands), at_doc, at_first (its first occurrence), and others: its
-    windows that occur first in none of its own occurrences (off, at_doc, at_start).
+    held: first (the chunk's) and pieces: off, windows, repeats (where a phrase stands), at_doc, at_first (its first
+    occurrence), and others: its windows that occur first in none of its own occurrences (off, at_doc, at_start).
     """
     # Aggregates are written before they are joined: then either side of a join is a shuffle of its own, and a hot
-    # anchor, phrase or window is split among tasks.
-    parsed = durable(phrases(docs, window, gram))
+    # anchor, chunk, phrase or window is split among tasks.
+    cut_up = durable(chunks(docs, window, gram))
+    distinct = durable(cut_up.groupBy(*NAME).agg(F.min(F.struct("doc_id", "first", "k1", "k2")).alias("at"), F.max("doc_id").alias("last"), F.first("parts").alias("parts")))
+    phrases = distinct.select(*NAME, "at", "last", F.explode("parts").alias("p")).select(*NAME, "at.doc_id", "at.k1", "at.k2", "last", "p.*", (F.col("at.first") + F.col("p.off")).alias("start"))
     anchors = durable(
-        parsed.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("fp1").alias("f"), F.max("fp1").alias("g"), F.min("fp2").alias("p"), F.max("fp2").alias("q"))
+        phrases.groupBy("anchor")
+        .agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi"), F.min("fp1").alias("f"), F.max("fp1").alias("g"), F.min("fp2").alias("p"), F.max("fp2").alias("q"))
         .where("lo < hi")
         .select("anchor", F.expr("f < g or p < q").alias("crowded"))
     )
-    shared = durable(parsed.join(anchors, "anchor").drop("anchor"))
-    release(parsed, anchors)
-    index = durable(shared.groupBy(*PHRASE).agg(F.min(F.struct("doc_id", "first", "k1", "k2")).alias("at"), F.first("windows").alias("windows"), F.first("crowded").alias("crowded")))
-    lists = index.where("crowded").groupBy("at.doc_id", "at.k1", "at.k2").agg(F.collect_list(F.struct("at.first", "windows", *PHRASE)).alias("listed"))
+    shared = durable(phrases.join(anchors, "anchor").drop("anchor"))
+    release(distinct, anchors)
+    index = durable(shared.groupBy(*PHRASE).agg(F.min(F.struct("doc_id", "start", "k1", "k2")).alias("at"), F.first("windows").alias("windows"), F.first("crowded").alias("crowded")))
+    lists = index.where("crowded").groupBy("at.doc_id", "at.k1", "at.k2").agg(F.collect_list(F.struct(F.col("at.start").alias("first"), "windows", *PHRASE)).alias("listed"))
     texts = _keyed(docs).where(F.length("text") >= 2 * window - 1)
     windows = durable(_opened(texts.join(lists, DOC).select("doc_id", "text", "listed"), window))
     place = F.struct("doc_id", "start")
@@ -146,11 +166,13 @@ def references(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     other = F.struct("off", F.col("least.doc_id").alias("at_doc"), F.col("least.start").alias("at_start"))
     others = durable(windows.join(least, ["w1", "w2"]).where(F.col("least") < place).groupBy(*PHRASE).agg(F.collect_set(other).alias("others")))
     release(windows, least)
-    known = durable(index.select(*PHRASE, F.col("at.doc_id").alias("at_doc"), F.col("at.first").alias("at_first")).join(others, PHRASE, "left"))
+    known = durable(index.select(*PHRASE, F.col("at.doc_id").alias("at_doc"), F.col("at.start").alias("at_first")).join(others, PHRASE, "left"))
     release(index, others)
-    held = shared.join(known, PHRASE).where("at_doc < doc_id or others is not null")
-    out = durable(held.groupBy(*DOC).agg(F.collect_set(F.struct("first", "windows", "repeats", "at_doc", "at_first", "others")).alias("held")))
+    piece = F.struct("off", "windows", "repeats", "at_doc", "at_first", "others")
+    parsed = durable(shared.join(known, PHRASE).where("at_doc < last or others is not null").groupBy(*NAME).agg(F.collect_list(piece).alias("pieces")))
     release(shared, known)
+    out = durable(cut_up.select(*DOC, *NAME, "first").join(parsed, NAME).groupBy(*DOC).agg(F.collect_set(F.struct("first", "pieces")).alias("held")))
+    release(cut_up, parsed)
     return out
 
 
@@ -162,14 +184,18 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def factors(doc: int, held: pa.StructArray, window: int) -> list[dict]:
     """The factors of a document: start and length in words, and the document and start that they are copies of."""
-    first, windows, repeats, at_doc, at_first = (held.field(k).to_numpy().astype(np.int64) for k in range(5))
+    pieces = held.field(1)
+    base = np.repeat(held.field(0).to_numpy().astype(np.int64), np.diff(pieces.offsets.to_numpy()))
+    pieces = pieces.flatten()
+    off, windows, repeats, at_doc, at_first = (pieces.field(k).to_numpy().astype(np.int64) for k in range(5))
+    first = base + off
     stands = windows + repeats - 1  # either is 1
     at, of = _spread(first, stands)
     size = int(at.max(initial=-1)) + 1
     ref_doc, ref_start = np.full(size, doc), np.zeros(size, np.int64)
     ref_doc[at], ref_start[at] = at_doc[of], at_first[of] + np.where(repeats[of] > 1, 0, at - first[of])
-    others = held.field(5)
-    n = np.diff(others.offsets.to_numpy())
+    others = pieces.field(5)
+    n = others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     if n.sum():
         of = np.repeat(np.arange(len(n)), n)
         listed = others.flatten()
