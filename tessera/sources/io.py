@@ -104,8 +104,9 @@ def insert_strings(spark: SparkSession, rows: str, cols: str, vals: str, family:
 
 def to_strings(df: DataFrame, separator: str = ",") -> DataFrame:
     """The three strings of a small result, as one row in key order."""
-    all_ = F.sort_array(F.collect_list(F.struct("row", "col", "val")))
-    return df.agg(all_.alias("x")).select(*(F.concat(F.array_join(F.transform("x", lambda e, c=c: e[c].cast("string")), separator), F.lit(separator)).alias(c) for c in ("row", "col", "val")))
+    entries = F.sort_array(F.collect_list(F.struct("row", "col", "val")))
+    joined = lambda c: F.concat(F.array_join(F.transform("x", lambda e: e[c].cast("string")), separator), F.lit(separator)).alias(c)
+    return df.agg(entries.alias("x")).select(*map(joined, ("row", "col", "val")))
 
 
 def melt(df: DataFrame, key: str | None, columns: list[str]) -> DataFrame:
@@ -186,8 +187,8 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists", transposed_path
     """A table, and perhaps its transpose, in key ranges. Gives back the number of entries and what ``reduce``, an
     aggregate over them, came to; both are gathered while the table is written."""
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("entries"), *([reduce.alias("reduced")] if reduce is not None else []))
-    (counted.repartitionByRange(ranges, "row") if ranges else counted).write.mode(mode).parquet(path)
+    dealt = df.repartitionByRange(ranges, "row") if ranges else df  # ranges are sampled first, so count behind them
+    dealt.observe(seen, F.count(F.lit(1)).alias("entries"), *([reduce.alias("reduced")] if reduce is not None else [])).write.mode(mode).parquet(path)
     if transposed_path:
         back = core.transpose(df.sparkSession.read.parquet(path))
         (back.repartitionByRange(ranges, "row") if ranges else back).write.mode(mode).parquet(transposed_path)

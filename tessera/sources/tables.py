@@ -11,7 +11,7 @@ def create(df: DataFrame, name: str, ranges: int | None = None, splits: list | N
     if splits is not None:
         points = F.array(*map(F.lit, sorted(splits))).cast(f"array<{df.schema['row'].dataType.simpleString()}>")
         part = F.size(F.filter(points, lambda p: p < F.col("row")))
-        df = df.withColumn("part", part).repartitionByRange(len(splits) + 1, "part").sortWithinPartitions("row").drop("part")
+        df = df.repartitionById(len(splits) + 1, part).sortWithinPartitions("row")
     elif ranges:
         df = df.repartitionByRange(ranges, "row")
     df.write.saveAsTable(name)
