@@ -12,8 +12,12 @@
 4. Components. Shards' groups that share a point are joined by alternating large-star and small-star steps over
    tables; a component is named by the smallest doc_id in it.
 
+A group that no vantage point splits is searched in one task; its points lie within a few bits of each other, so their
+number is bounded by the bits (43,745 within 3 of one point), whatever the corpus. Of a shard only the longs are held.
+
 Texts without words (null and empty ones too) have fingerprint 0 and are linked like any other. Rows with a null
-doc_id get a component but never name one. Repeated rows are copies.
+doc_id get a component but never name one; a component of such rows only has none. Repeated rows are copies, an empty
+table has none. Very long texts are hashed one by one; columns besides doc_id and text are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ its bytes without building the pieces. Words are [^\\x20\\x09-\\x0D]+, each read
 hold other white space never match. Single bytes that the vocabulary lacks count as one token each.
 
 The vocabulary is read on the driver from a file of base64 tokens and ranks, and broadcast: its size is the
-vocabulary's, whatever the corpus. Null and empty texts have 0 tokens.
+vocabulary's, whatever the corpus. Null and empty texts have 0 tokens; rows that repeat are counted alike, words of any
+length in one pass, very long texts one by one. Columns besides doc_id and text are left out, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words whose counts a task remembers; the memory is emptied when full.
-MEMORY = 200_000
+#: Words whose counts a task remembers, and their longest; the memory is emptied when full.
+MEMORY, LONGEST = 200_000, 64
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -86,6 +87,8 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes] | None = None) -> Data
         known: dict[bytes, int] = {}
 
         def of(word: bytes) -> int:
+            if len(word) > LONGEST:
+                return longest_match_count(b" " + word, edges, link, popped)
             n = known.get(word)
             if n is None:
                 if len(known) >= MEMORY:

@@ -1,13 +1,15 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Rows are dealt by a hash of their id to blocks of bounded size; every block of queries meets every block of candidates
-in one cell of a grid. In a cell each term (vector component) has a posting list of the candidates where it is not
+Rows are dealt by a hash of id and vector to blocks of bounded size; every block of queries meets every block of
+candidates in one cell of a grid. In a cell each term (vector component) has a posting list of the candidates where it is not
 zero; a query row scatters ``weight * postings`` of its non-zero terms into a dense array of scores, ``argpartition``
 selects the best k, and a last aggregation merges the cells' lists. Sums are exact integers.
 
-Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids. A query does not find
-rows of its own id; repeated candidate rows count one by one, repeated query rows once. Vectors of different lengths
-are compared over the terms both have.
+Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; an empty table on either
+side gives no rows. A query does not find rows of its own id. Candidate rows that repeat count one by one, and as no
+query can return more than k of them, no more are kept, so a hot row is spread and small. Query rows that repeat count
+once; different vectors under one id make one query, whose ranking holds what any of them scores. Ties go to the smaller
+vec_id. Vectors of different lengths are compared over the terms both have; columns besides vec_id and q are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Rows of a block at most (on average; ids are dealt by hash).
 CANDIDATES, QUERIES = 8192, 1024
 
@@ -70,9 +74,11 @@ def accumulate(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vect
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and q."""
     queries = queries.select("vec_id", "q").distinct()
+    kinds = candidates.groupBy("vec_id", "q").agg(F.count("*").alias("n"))
+    candidates = durable(kinds.select("vec_id", "q", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("copy")).drop("copy"))
     n, m = candidates.count(), queries.count()
     across, down = max(1, math.ceil(n / block)), max(1, math.ceil(m / query_block))
-    side = lambda df, own, other, b: df.withColumn(own[0], F.pmod(F.xxhash64("vec_id"), F.lit(own[1]))).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)).cast("array<bigint>")))
+    side = lambda df, own, other, b: df.withColumn(own[0], F.pmod(F.xxhash64("vec_id", "q"), F.lit(own[1]))).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)).cast("array<bigint>")))
     c = side(candidates.select("vec_id", "q"), ("cb", across), ("qb", down), block)
     q = side(queries, ("qb", down), ("cb", across), query_block)
 
