@@ -68,11 +68,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.withColumn("target", F.when(cap <= weight * F.lit(level), cap.cast("double")).otherwise(weight * F.lit(level)))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with mix_size, the words of the text, and r1 and r2, 128 bits that stand for all columns of the row."""
-    plain = [F.map_entries(f.name) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+def _identity(docs: DataFrame) -> list[Column]:
+    """mix_size, the words of the text, and mix_r1 and mix_r2, 128 bits that stand for all columns of the row."""
+    plain = [F.map_entries(f"`{f.name}`") if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
     parts = [x for c in plain for x in (c.isNull(), c)]  # a hash passes over nulls
-    return docs.withColumns({"mix_size": word_count("text"), "mix_r1": F.xxhash64(F.lit(1), *parts), "mix_r2": F.xxhash64(F.lit(2), *parts)})
+    return [word_count("text").alias("mix_size"), F.xxhash64(F.lit(1), *parts).alias("mix_r1"), F.xxhash64(F.lit(2), *parts).alias("mix_r2")]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with the columns of _identity()."""
+    return docs.select("*", *_identity(docs))
 
 
 ROW = ["mix_r1", "mix_r2", "mix_repeat"]
@@ -225,11 +230,11 @@ def deal(mixed: DataFrame, levels: int = LEVELS, seed: int = 7) -> DataFrame:
 def mixed_rows(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The rows of docs (text, source, ...) with all their columns, as often as the mix takes them, shard by shard (in
     ranges of mix_shard and mix_place, sorted), documents taken whole."""
-    known = identified(docs)
+    known = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", *_identity(docs))
     rows = durable(mix(known.select("source", "mix_size", "mix_r1", "mix_r2"), seed=seed, whole=True, **options))
     takings = durable(deal(rows, seed=seed).select(F.col("mix_r1").alias("t1"), F.col("mix_r2").alias("t2"), "mix_shard", "mix_place"))
     release(rows)
-    texts = known.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "mix_r1", "mix_r2").dropDuplicates(["mix_r1", "mix_r2"])
+    texts = known.select("row", "mix_r1", "mix_r2").dropDuplicates(["mix_r1", "mix_r2"])
     found = texts.join(takings, F.expr("mix_r1 = t1 and mix_r2 = t2"))
     return found.select("row", "mix_shard", "mix_place").repartitionByRange("mix_shard", "mix_place").sortWithinPartitions("mix_shard", "mix_place")
 
