@@ -366,10 +366,10 @@ CONFIDENCE = {6: 1.0, 5: 1.0, 4: 0.95, 3: 0.8, 2: 0.6, 1: 0.4}
 #: Of these every text that a rule can match has one; a blank at the front is the beginning of a word.
 GATES = [
     "licen", "copyright", "copyleft", "permission", "redistribut", "public domain", "apache", "warrant",
-    "proprietary", "confidential", "gpl", " bsd", " asl", " cc0", " cc by", " odbl", " odc by", " ofl", " mpl",
+    "proprietary", "confidential", "gpl", " bsd", " asl 2", " cc0", " cc by", " odbl", " odc by", " ofl 1", " mpl",
     " epl", " wtfpl", " cddl", " eupl", " cecill", " mit style", " mit no", " openrail", " gfdl", " 0bsd",
     "creative commons", "creativecommons", "commons clause", "misrepresent", "as perl", "zero bsd", "endorse",
-    "good not evil", "beer", " exception", "syscall", "released under", "distributed under", "available under",
+    "good not evil", "a beer", " beer ware", " beerware", " exception", "syscall", "released under", "distributed under", "available under",
     "x consortium", "advertising materials", "png reference", "postgresql", "openssl", "jpeg group",
     "free software", "may be copied", "statically or dynamically", "affirmer", "bitstream vera", "unauthorized",
     "rights reserved no part", "use only", "purposes only", "used to train", "data mining",
