@@ -14,7 +14,9 @@ from .lineage import checkpointed
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(core.transpose(edges)).distinct()
+    """Every edge in both directions, once; one pass over the edges."""
+    there, back = F.struct("row", "col", "val"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"), "val")
+    return edges.select(F.explode(F.array(there, back)).alias("e")).select("e.*").distinct()
 
 
 class Walk(NamedTuple):
@@ -139,9 +141,13 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.where("row <> col").select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col")).distinct()
 
 
+def _both_ways(plain: DataFrame) -> DataFrame:
+    return plain.select(F.explode(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col")))).alias("e")).select("e.*")
+
+
 def _oriented(plain: DataFrame, hubs_first: bool = False) -> DataFrame:
-    """Plain edges with their ends as structs of (degree, node) in ascending order, so hubs come last and make few
-    wedges; hubs_first: by falling degree."""
+    """Plain edges (a table, as they are read three times) with their ends as structs of (degree, node) in ascending
+    order, so hubs come last and make few wedges; hubs_first: by falling degree."""
     deg = plain.select(F.explode(F.array("row", "col")).alias("node")).groupBy("node").agg((F.count("*") * (-1 if hubs_first else 1)).alias("deg"))
     end = lambda c: deg.select(F.col("node").alias(c), F.struct("deg", "node").alias(f"{c}_end"))
     x = plain.join(end("row"), "row").join(end("col"), "col")
@@ -156,7 +162,11 @@ def _wedges(up: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """The triangles of an undirected graph, one row each, as wedges closed by an edge; x has the lowest degree."""
-    up = _oriented(_plain(edges))
+    return _triangles(checkpointed(_plain(edges)))
+
+
+def _triangles(plain: DataFrame) -> DataFrame:
+    up = _oriented(plain)
     closed = _wedges(up).join(up.select(F.col("row").alias("y"), F.col("col").alias("z")), ["y", "z"])
     return closed.select(*(F.col(f"{c}.node").alias(c) for c in "xyz"))
 
@@ -167,7 +177,7 @@ def count_triangles(edges: DataFrame) -> DataFrame:
 
 def count_triangles_parity(edges: DataFrame) -> DataFrame:
     """By parity: an edge counts 1, a wedge over it 2, so odd cells are edges and (v - 1) / 2 their triangles."""
-    up = _oriented(_plain(edges))
+    up = _oriented(checkpointed(_plain(edges)))
     wedge = _wedges(up).select(F.col("y").alias("row"), F.col("z").alias("col"), F.lit(2).cast("long").alias("val"))
     cells = core.combine(up.withColumn("val", F.lit(1).cast("long")).unionByName(wedge))
     return cells.where("val % 2 = 1").agg(F.coalesce(F.sum(F.expr("(val - 1) div 2")), F.lit(0)).alias("triangles"))
@@ -176,7 +186,7 @@ def count_triangles_parity(edges: DataFrame) -> DataFrame:
 def count_triangles_by_edges(edges: DataFrame) -> DataFrame:
     """Adjacency joined to edges: a node and an edge that meet twice below the edge make a triangle. Hubs come first, so
     few nodes stand below the ends of an edge."""
-    up = _oriented(_plain(edges), hubs_first=True)
+    up = _oriented(checkpointed(_plain(edges)), hubs_first=True)
     ends = up.select(F.explode(F.array("row", "col")).alias("k"), F.col("row").alias("u"), F.col("col").alias("v"))
     met = up.select(F.col("col").alias("k"), F.col("row").alias("c")).join(ends, "k").where("c < u").groupBy("c", "u", "v").count()
     return met.where("count = 2").agg(F.count("*").alias("triangles"))
@@ -196,13 +206,13 @@ def k_truss(edges: DataFrame, k: int, rounds: int | None = None, only: str | Non
                 raise RuntimeError(f"the {k}-truss has not settled within {rounds} rounds")
             done += 1
             side = lambda a, b: F.struct(F.least(a, b).alias("row"), F.greatest(a, b).alias("col"))
-            sides = triangles(left).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("e"))
+            sides = _triangles(left).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("e"))
             support = sides.groupBy("e.row", "e.col").count().where(F.col("count") >= k - 2)
             left = checkpointed(left.join(support, ["row", "col"], "left_semi"))
             size, before = left.count(), size
             if size == before:
                 break
-    return left.unionByName(core.transpose(left.withColumn("val", F.lit(1))).select("row", "col")).withColumn("val", F.lit(1).cast("long"))
+    return _both_ways(left).withColumn("val", F.lit(1).cast("long"))
 
 
 def k_truss_incidence(incidence: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
@@ -216,7 +226,7 @@ def jaccard(edges: DataFrame, only: str | None = None) -> DataFrame:
     """Jaccard coefficients of the neighbourhoods of node pairs row < col that share a neighbour; only: a range string
     that both ends of an edge must be in. The result has a row for each pair, so its size bounds the work from below."""
     plain = _plain(core.select_range(core.select_range(edges, only), only, "col"))
-    both = checkpointed(plain.unionByName(plain.select(F.col("col").alias("row"), F.col("row").alias("col"))))
+    both = checkpointed(_both_ways(plain))
     deg = both.groupBy("row").agg(F.count("*").alias("deg"))
     a, b = both.alias("a"), both.alias("b")
     common = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).groupBy(F.col("a.col").alias("row"), F.col("b.col").alias("col")).agg(F.count("*").alias("n"))

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that the session names, or a temporary one in local runs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        for path in _written:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have gone first
+        return
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder that the session names, or a temporary one in local runs."""
+    """df written as a table in the shared folder and read back: its lineage ends there, a lost executor costs nothing,
+    and it is computed once however often it is used. The tables go when the driver ends."""
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    path = f"{_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_remove, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
