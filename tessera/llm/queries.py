@@ -17,4 +17,4 @@ QUERIES = {
         media.op10_motion_jpeg,
     )
 }
-SQL = {**substring_dedup.SQL, **topk.SQL}
+SQL = {**substring_dedup.SQL, **topk.SQL, **tokens.SQL}

@@ -112,3 +112,20 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes] | None = None) -> Data
 
 def op5_longest_match_tokens(spark, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = {
+    "op5_longest_match_tokens": rf"""
+WITH RECURSIVE v AS (SELECT DISTINCT hex(from_base64(token)) AS t FROM read_csv('{VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}})),
+d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+h AS (SELECT DISTINCT w, hex(encode(' ' || w)) AS x FROM (SELECT unnest(words) AS w FROM d)),
+p AS (SELECT w, x, unnest(range(0, length(x), 2)) AS o FROM h),
+c AS (SELECT w, x, o, unnest(range(2, least(length(x) - o, (SELECT max(length(t)) FROM v)) + 1, 2)) AS size FROM p),
+m AS MATERIALIZED (SELECT w, o, max(CASE WHEN t IS NOT NULL OR size = 2 THEN size END) AS size FROM c LEFT JOIN v ON substr(x, o + 1, size) = t GROUP BY 1, 2),
+g(w, o, n) AS (SELECT w, 0::BIGINT, 0::BIGINT FROM h UNION ALL SELECT g.w, g.o + m.size, n + 1 FROM g JOIN m ON g.w = m.w AND g.o = m.o),
+k AS (SELECT w, max(n) AS n FROM g GROUP BY w),
+s AS (SELECT doc_id, text, sum(k.n) AS n FROM (SELECT doc_id, text, unnest(words) AS w FROM d) JOIN k USING (w) GROUP BY 1, 2)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_tokens, CAST(octet_length(encode(coalesce(d.text, ''))) AS BIGINT) AS n_bytes
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id AND d.text IS NOT DISTINCT FROM s.text
+"""
+}
