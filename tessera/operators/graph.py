@@ -145,39 +145,54 @@ def _both_ways(plain: DataFrame) -> DataFrame:
     return plain.select(F.explode(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col")))).alias("e")).select("e.*")
 
 
-def _oriented(plain: DataFrame, hubs_first: bool = False) -> DataFrame:
-    """Plain edges (a table, as they are read three times) with their ends as structs of (degree, node) in ascending
-    order, so hubs come last and make few wedges; hubs_first: by falling degree."""
+def _ranked(plain: DataFrame, hubs_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Plain edges (a table, as they are read three times) between ranks of nodes, row < col, and the nodes' ranks (node,
+    rank). Ranks rise with the degree, so hubs come last and make few wedges; hubs_first: they fall."""
     deg = plain.select(F.explode(F.array("row", "col")).alias("node")).groupBy("node").agg((F.count("*") * (-1 if hubs_first else 1)).alias("deg"))
-    end = lambda c: deg.select(F.col("node").alias(c), F.struct("deg", "node").alias(f"{c}_end"))
+    ordered = deg.repartitionByRange("deg", "node").sortWithinPartitions("deg", "node")
+    ranks = checkpointed(ordered.select("node", F.monotonically_increasing_id().alias("rank")))
+    end = lambda c: ranks.select(F.col("node").alias(c), F.col("rank").alias(f"{c}_rank"))
     x = plain.join(end("row"), "row").join(end("col"), "col")
-    return checkpointed(x.select(F.least("row_end", "col_end").alias("row"), F.greatest("row_end", "col_end").alias("col")))
+    return checkpointed(x.select(F.least("row_rank", "col_rank").alias("row"), F.greatest("row_rank", "col_rank").alias("col"))), ranks
+
+
+def _named(df: DataFrame, ranks: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumnRenamed(c, "rank").join(ranks.withColumnRenamed("node", c), "rank").drop("rank")
+    return df
 
 
 def _wedges(up: DataFrame) -> DataFrame:
-    """Pairs y < z of oriented edges x -> y, x -> z."""
+    """Pairs y < z of ranked edges x -> y, x -> z."""
     a, b = up.alias("a"), up.alias("b")
     return a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).select(F.col("a.row").alias("x"), F.col("a.col").alias("y"), F.col("b.col").alias("z"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """The triangles of an undirected graph, one row each, as wedges closed by an edge; x has the lowest degree."""
-    return _triangles(checkpointed(_plain(edges)))
+def _closed(up: DataFrame) -> DataFrame:
+    """x, y and the array zs of the nodes that close x -> y to triangles.
 
+    A node's later neighbours are one array: by rank no node has more than the square root of twice the edges. Each edge
+    takes what follows its end in its start's array to the end's array; wedges are never rows."""
+    later = checkpointed(up.groupBy("row").agg(F.sort_array(F.collect_list("col")).alias("n")))
+    pairs = later.select(F.col("row").alias("x"), F.posexplode("n").alias("k", "y"), "n").where(F.col("k") + 1 < F.size("n"))
+    pairs = pairs.select("x", "y", F.slice("n", F.col("k") + 2, F.size("n")).alias("rest"))
+    return pairs.join(later.select(F.col("row").alias("y"), F.col("n").alias("m")), "y").select("x", "y", F.array_intersect("rest", "m").alias("zs")).where(F.size("zs") > 0)
 
-def _triangles(plain: DataFrame) -> DataFrame:
-    up = _oriented(plain)
-    closed = _wedges(up).join(up.select(F.col("row").alias("y"), F.col("col").alias("z")), ["y", "z"])
-    return closed.select(*(F.col(f"{c}.node").alias(c) for c in "xyz"))
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """The triangles of an undirected graph, one row each; x has the lowest degree."""
+    up, ranks = _ranked(checkpointed(_plain(edges)))
+    return _named(_closed(up).select("x", "y", F.explode("zs").alias("z")), ranks, "x", "y", "z").select("x", "y", "z")
 
 
 def count_triangles(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(F.count("*").alias("triangles"))
+    up, _ = _ranked(checkpointed(_plain(edges)))
+    return _closed(up).agg(F.coalesce(F.sum(F.size("zs").cast("long")), F.lit(0)).alias("triangles"))
 
 
 def count_triangles_parity(edges: DataFrame) -> DataFrame:
     """By parity: an edge counts 1, a wedge over it 2, so odd cells are edges and (v - 1) / 2 their triangles."""
-    up = _oriented(checkpointed(_plain(edges)))
+    up, _ = _ranked(checkpointed(_plain(edges)))
     wedge = _wedges(up).select(F.col("y").alias("row"), F.col("z").alias("col"), F.lit(2).cast("long").alias("val"))
     cells = core.combine(up.withColumn("val", F.lit(1).cast("long")).unionByName(wedge))
     return cells.where("val % 2 = 1").agg(F.coalesce(F.sum(F.expr("(val - 1) div 2")), F.lit(0)).alias("triangles"))
@@ -186,7 +201,7 @@ def count_triangles_parity(edges: DataFrame) -> DataFrame:
 def count_triangles_by_edges(edges: DataFrame) -> DataFrame:
     """Adjacency joined to edges: a node and an edge that meet twice below the edge make a triangle. Hubs come first, so
     few nodes stand below the ends of an edge."""
-    up = _oriented(checkpointed(_plain(edges)), hubs_first=True)
+    up, _ = _ranked(checkpointed(_plain(edges)), hubs_first=True)
     ends = up.select(F.explode(F.array("row", "col")).alias("k"), F.col("row").alias("u"), F.col("col").alias("v"))
     met = up.select(F.col("col").alias("k"), F.col("row").alias("c")).join(ends, "k").where("c < u").groupBy("c", "u", "v").count()
     return met.where("count = 2").agg(F.count("*").alias("triangles"))
@@ -199,19 +214,20 @@ def k_truss(edges: DataFrame, k: int, rounds: int | None = None, only: str | Non
     Goes on until nothing changes; where that takes more than ``rounds``, if given, it raises."""
     left = _plain(core.select_range(core.select_range(edges, only), only, "col"))
     if k > 2:
-        left = checkpointed(left)
+        left, ranks = _ranked(checkpointed(left))
         size, done = left.count(), 0
         while True:
             if done == rounds:
                 raise RuntimeError(f"the {k}-truss has not settled within {rounds} rounds")
             done += 1
-            side = lambda a, b: F.struct(F.least(a, b).alias("row"), F.greatest(a, b).alias("col"))
-            sides = _triangles(left).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("e"))
+            side = lambda a, b: F.struct(F.col(a).alias("row"), F.col(b).alias("col"))
+            sides = _closed(left).select("x", "y", F.explode("zs").alias("z")).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("e"))
             support = sides.groupBy("e.row", "e.col").count().where(F.col("count") >= k - 2)
             left = checkpointed(left.join(support, ["row", "col"], "left_semi"))
             size, before = left.count(), size
             if size == before:
                 break
+        left = checkpointed(_named(left, ranks, "row", "col").select("row", "col"))
     return _both_ways(left).withColumn("val", F.lit(1).cast("long"))
 
 
