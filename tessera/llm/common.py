@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of the batches that go to Python workers, unless the session sets its own.
 BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of durable tables between two collections of the driver's JVM.
+COLLECT_BYTES = 4 << 20
 _written: list[str] = []
+_since = [0]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +46,8 @@ def durable(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage is cut and lost executors cost nothing.
 
     The table goes with release() or when the driver ends. The shuffle files of the job that wrote it are no longer
-    needed; Spark removes them once the driver's JVM has collected the plan, which is asked for here.
+    needed; Spark removes them once the driver's JVM has collected the plan, which is asked for here whenever
+    COLLECT_BYTES more have been written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
@@ -51,8 +55,12 @@ def durable(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove_all, spark)
     _written.append(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _since[0] += at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if _since[0] >= COLLECT_BYTES:
+        _since[0] = 0
+        gc.collect()
+        spark._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.durable_path = path
     return table
