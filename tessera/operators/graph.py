@@ -162,12 +162,6 @@ def _named(df: DataFrame, ranks: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def _wedges(up: DataFrame) -> DataFrame:
-    """Pairs y < z of ranked edges x -> y, x -> z."""
-    a, b = up.alias("a"), up.alias("b")
-    return a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") < F.col("b.col"))).select(F.col("a.row").alias("x"), F.col("a.col").alias("y"), F.col("b.col").alias("z"))
-
-
 def _closed(up: DataFrame) -> DataFrame:
     """x, y and the array zs of the nodes that close x -> y to triangles.
 
@@ -202,10 +196,10 @@ def _oriented(plain: DataFrame) -> DataFrame:
 
 
 def count_triangles_parity(edges: DataFrame) -> DataFrame:
-    """By parity: an edge counts 1, a wedge over it 2, so odd cells are edges and (v - 1) / 2 their triangles."""
-    up, _ = _ranked(checkpointed(_plain(edges)))
-    wedge = _wedges(up).select(F.col("y").alias("row"), F.col("z").alias("col"), F.lit(2).cast("long").alias("val"))
-    cells = core.combine(up.withColumn("val", F.lit(1).cast("long")).unionByName(wedge))
+    """By parity: an edge counts 1, a wedge over it 2, so odd cells are edges and (v - 1) / 2 their triangles. Even cells,
+    wedges over no edge, count nothing and are not kept."""
+    wedges = tiles.masked_products(_oriented(checkpointed(_plain(edges))))
+    cells = wedges.withColumn("val", 1 + 2 * F.col("val"))
     return cells.where("val % 2 = 1").agg(F.coalesce(F.sum(F.expr("(val - 1) div 2")), F.lit(0)).alias("triangles"))
 
 
