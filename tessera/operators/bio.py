@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tiles
 from .lineage import checkpointed
 
 #: Starts of k-mers in one piece of a sequence.
@@ -113,9 +114,8 @@ def sharing_pairs(df: DataFrame, distance: str = "bray_curtis") -> DataFrame:
 
 def bray_curtis(df: DataFrame) -> DataFrame:
     """1 - 2 sum(min) / (sum + sum) for every pair of rows, 1 for pairs that share nothing."""
-    df = checkpointed(df.select("row", "col", "val"))
-    x = _pairs(df).join(_shared(df), ["row", "col"], "left")
-    return x.select("row", "col", (1 - 2 * F.coalesce("low", F.lit(0)) / (F.col("s") + F.col("t"))).alias("val"))
+    x = tiles.pairs(checkpointed(df.select("row", "col", "val")), True, BLOCK)
+    return x.select("row", "col", (1 - 2 * F.col("low") / (F.col("s") + F.col("t"))).alias("val"))
 
 
 def weighted_jaccard(df: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ query("ktruss_edge", _with("un", *_rounds) + "SELECT r || '|' || c AS edge, unne
 _TRI = "SELECT count(*) triangles FROM co a JOIN co b ON a.c = b.r JOIN co z ON z.r = a.r AND z.c = b.c"
 for _name, _f in (("triangles_join", graph.count_triangles), ("triangles_parity", graph.count_triangles_parity), ("triangles_adj_edge", graph.count_triangles_by_edges)):
     matrix_query(_name, _with("co") + _TRI, CO, _f, None)
-_round9 = lambda df: df.withColumn("val", F.round("val", 9))
+_round9 = lambda df: df.withColumn("val", F.when(F.col("val") == 1, F.col("val")).otherwise(F.round("val", 9)))  # noqa: E731  most pairs that share nothing are at 1
 matrix_query("jaccard", _with("un", "g AS (SELECT r, count(*) n FROM un GROUP BY r)",
         "p AS (SELECT a.c r, b.c c, count(*) k FROM un a JOIN un b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2)") + "SELECT p.r, p.c, round(k / (x.n + y.n - k), 9) v FROM p JOIN g x ON p.r = x.r JOIN g y ON p.c = y.r",
     CO, lambda a: _round9(graph.jaccard(a)))
