@@ -69,3 +69,21 @@ def test_fingerprint_groups_are_candidates(spark):
     docs = spark.createDataFrame([(1, " ".join(TEXT)), (2, " ".join([*TEXT, "end"])), (3, "a b c")], "doc_id long, text string")
     heads = near_copies.points(docs, near_copies.common_shingles(docs))
     assert near_copies._tight(heads).count() == 1
+
+
+def test_candidates_grow_with_texts_not_pairs(spark, monkeypatch):
+    """Groups whose members lie just under the threshold, and chains of similar ones, make few candidate pairs a text."""
+    import random
+
+    from tessera.llm import near_copies
+
+    made, similar = [], near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *more: made.append(pairs.count()) or similar(pairs, *more))
+    rng, rows = random.Random(5), []
+    for group in range(2):
+        words = [f"g{group}w{k}" for k in range(400)]
+        for k in range(60):
+            changed = set(rng.sample(range(0, 400, 7), 5 if group else 2 + k % 5))
+            rows.append((len(rows), " ".join(f"x{k}y{j}" if j in changed else w for j, w in enumerate(words))))
+    assert ids(spark, rows) == sorted(kept(rows))
+    assert sum(made) <= 4 * len(rows)
