@@ -5,7 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from conftest import SF
+from pyspark.sql import functions as F
 from tessera.operators import bio, graph, tiles
+from tessera.plans.catalogue import QUERIES
 
 
 def shuffled(spark, run):
@@ -71,3 +74,36 @@ def test_pairs_are_not_shuffled(spark, pairs):
     """Some 600 rows share columns: 180,000 pairs."""
     df = spark.range(1800).selectExpr("id % 600 as row", "1000 + id % 7 as col", "1 + id % 5 as val")
     assert shuffled(spark, lambda: pairs(df).collect()) < 60_000
+
+
+@pytest.mark.parametrize("digits", [None, 4])
+def test_jaccard_values(spark, monkeypatch, digits):
+    """Against plain sets, with loops and edges given twice; tiles of 4 rows. d and e have 64 neighbours, one in common."""
+    for name, least in (("AT_ONCE", 7), ("LINES", 10)):
+        monkeypatch.setattr(tiles, name, least)
+    monkeypatch.setattr(tiles.pairs, "__defaults__", (False, 4, None))
+    rng = random.Random(7)
+    edges = [tuple(rng.choices([f"n{k:02d}" for k in range(21)], k=2)) for _ in range(70)]
+    edges += [(n, "both") for n in "de"] + [(n, f"{n}{k:02d}") for n in "de" for k in range(63)] + [("x", "x"), ("d", "d00")]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    part = {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in itertools.combinations(sorted(near), 2) if near[a] & near[b]}
+    want = part if digits is None else {k: int(v * 10**digits + 0.5) / 10**digits for k, v in part.items()}
+    df = spark.createDataFrame([(a, b, 9) for a, b in edges], "row string, col string, val long")
+    found = graph.jaccard(df, digits=digits).collect()
+    assert {(r.row, r.col): r.val for r in found} == want and len(found) == len(want) and want["d", "e"] > 0
+    assert graph.jaccard(df.limit(0), digits=digits).collect() == []
+
+
+def test_jaccard_is_finished_in_blocks(spark, monkeypatch):
+    """Pairs reach the JVM with three columns and rounded; rows for blocks are lists without nulls or values."""
+    sent, streamed = [], tiles._streamed
+    monkeypatch.setattr(tiles, "_streamed", lambda df, *a: sent.append((df, *a)) or streamed(df, *a))
+    plan = QUERIES["jaccard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    (df, _, schema), = sent
+    assert "round(" not in plan and schema == "row bigint, col bigint, val double"
+    lists = [c for c, kind in df.dtypes if kind.startswith("array")]
+    assert sorted(lists) == ["keys", "sums", "x_at", "y_at"] and df.where("kind = 2").where(F.concat(*(F.col(c).isNull().cast("string") for c in lists)).contains("true")).isEmpty()
